@@ -8,6 +8,7 @@ quotation from abuse, and a logistic regression turns a text's matches into a sc
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,9 @@ WINDOW = 6
 THRESHOLD = 0.7
 QUOTES = "\"“”„«»"
 EDGE = ".,;:!?()[]{}<>'`’‘…-" + QUOTES
-FEATURES = 7
+FEATURES = 8
+#: Log-likelihood that a term must gain over chance, for samples of 2,000 texts and up, and below.
+GAIN, SMALL_GAIN = 15.0, 6.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,7 +50,8 @@ class FuzzyTrie:
 
     STATES = 200_000
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: dict[str, float]):
+        self.weight: dict[int, float] = {}
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]  # edits allowed where a term ends, else -1
         self.stem: list[bool] = [False]
@@ -65,6 +69,7 @@ class FuzzyTrie:
                     self.most.append(0)
                 at = self.children[at][c]
             self.most[at] = max(self.most[at], allowed)
+            self.weight[at] = terms[term]
             if stem:
                 self.stem[at] = True
             else:
@@ -75,7 +80,7 @@ class FuzzyTrie:
         self.sets: list[dict[int, int]] = [{}]  # 0 is the dead state
         self.names: dict[frozenset, int] = {frozenset(): 0}
         self.steps: list[dict[str, int]] = [{}]
-        self.found: list[int | None] = [None]
+        self.found: list[tuple[int, float] | None] = [None]
         self.start = self.name(self.closed({0: 0}))
 
     def closed(self, nodes: dict[int, int]) -> dict[int, int]:
@@ -96,11 +101,12 @@ class FuzzyTrie:
             self.names[key] = len(self.sets)
             self.sets.append(nodes)
             self.steps.append({})
-            self.found.append(min((e for at, e in nodes.items() if e <= self.ends[at]), default=None))
+            ends = [(e, -self.weight[at]) for at, e in nodes.items() if e <= self.ends[at]]
+            self.found.append((min(ends)[0], -min(ends)[1]) if ends else None)
         return self.names[key]
 
     def step(self, state: int, c: str) -> int:
-        """The state after one more letter; -1 once a stem has been read."""
+        """The state after one more letter; once a stem has been read, its node below zero."""
         nodes: dict[int, int] = {}
 
         def reach(at: int, e: int) -> None:
@@ -111,15 +117,15 @@ class FuzzyTrie:
             reach(at, e + 1)  # a letter too many
             for letter, to in self.children[at].items():
                 if letter == c and e == 0 and self.stem[to]:
-                    self.steps[state][c] = -1
-                    return -1
+                    self.steps[state][c] = -to
+                    return -to
                 reach(to, e if letter == c else e + 1)
         to = self.name(self.closed(nodes)) if nodes else 0
         self.steps[state][c] = to
         return to
 
-    def edits(self, word: str) -> int | None:
-        """Least number of edits from word to a term that allows so many, or None."""
+    def match(self, word: str) -> tuple[int, float] | None:
+        """Least number of edits from word to a term that allows so many, and the term's weight; or None."""
         if len(self.sets) > self.STATES:
             self.forget()
         state, steps = self.start, self.steps
@@ -127,7 +133,7 @@ class FuzzyTrie:
             to = steps[state].get(c)
             state = self.step(state, c) if to is None else to
             if state <= 0:
-                return 0 if state else None
+                return (0, self.weight[-state]) if state else None
         return self.found[state]
 
 
@@ -137,7 +143,7 @@ def tokens(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    terms: list[str] = field(default_factory=list)
+    terms: dict[str, float] = field(default_factory=dict)  # with their log-odds
     known: set[str] = field(default_factory=set)  # like a term, but seen in texts that aren't toxic
     context: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=list)
@@ -145,44 +151,46 @@ class Model:
 
 
 class Matcher(dict):
-    """Word as written to the edits of its match (0 to 2), or None; remembers words."""
+    """Word as written to the edits and weight of its match, or None; remembers words."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.trie, self.known = FuzzyTrie(model.terms), model.known
 
-    def __missing__(self, raw: str) -> int | None:
+    def __missing__(self, raw: str) -> tuple[int, float] | None:
         if len(self) >= 300_000:
             self.clear()
         word = raw.strip(EDGE)
-        e = self.trie.edits(word) if word else None
-        e = None if e and word in self.known else e
-        self[raw] = e
-        return e
+        m = self.trie.match(word) if word else None
+        m = None if m and m[0] and word in self.known else m
+        self[raw] = m
+        return m
 
-    def hits(self, words: list[str]) -> list[tuple[int, int]]:
-        return [(i, e) for i, e in enumerate(map(self.__getitem__, words)) if e is not None]
+    def hits(self, words: list[str]) -> list[tuple[int, int, float]]:
+        return [(i, *m) for i, m in enumerate(map(self.__getitem__, words)) if m]
 
 
-def windows(words: list[str], hits: list[tuple[int, int]]) -> Iterator[tuple[int, bool, list[str]]]:
-    """For each match: its edits, if it stands in quotation marks, and the words around it."""
-    for i, e in hits:
+def windows(words: list[str], hits: list[tuple[int, int, float]]) -> Iterator[tuple[int, bool, list[str]]]:
+    """For each match: its place, if it stands in quotation marks, and the words around it."""
+    for i, _, _ in hits:
         before, after = words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]
         opened = sum(w.count(q) for w in before for q in QUOTES) + sum(words[i].startswith(q) for q in QUOTES)
         closed = sum(w.count(q) for w in after for q in QUOTES) + sum(words[i].endswith(q) for q in QUOTES)
-        yield e, opened % 2 == 1 and closed > 0, [w.strip(EDGE) for w in before + after]
+        yield i, opened % 2 == 1 and closed > 0, [w.strip(EDGE) for w in before + after]
 
 
 def features(words: list[str], match: Matcher, context: dict[str, float]) -> list[float]:
-    plain = fuzzy = quoted = 0
+    quoted, n, plain, fuzzy = 0, 0, {}, {}
     around = []
-    for e, in_quotes, near in windows(words, match.hits(words)):
+    hits = match.hits(words)
+    for (_, e, weight), (i, in_quotes, near) in zip(hits, windows(words, hits), strict=True):
         around.append(sum(context.get(w, 0.0) for w in near) / (1 + len(near)))
         quoted += in_quotes
-        plain += not in_quotes and e == 0
-        fuzzy += not in_quotes and e > 0
-    n = plain + fuzzy
-    return [1.0, float(n > 0), np.log1p(plain), np.log1p(fuzzy), np.log1p(quoted), min(1.0, 20 * n / (20 + len(words))), float(np.mean(around)) if around else 0.0]
+        if not in_quotes:
+            n += 1
+            (fuzzy if e else plain)[words[i].strip(EDGE)] = weight
+    both = max(0.0, sum(plain.values())) + max(0.0, sum(fuzzy.values()))
+    return [1.0, np.log1p(max(0.0, sum(plain.values()))), np.log1p(max(0.0, sum(fuzzy.values()))), float(len(plain) + len(fuzzy) > 1), np.log1p(quoted), min(1.0, 20 * n / (20 + len(words))), float(np.mean(around)) if around else 0.0, min(both, 12.0) / 4]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -212,23 +220,42 @@ def counted(sample: DataFrame, words_of) -> DataFrame:
     return sample.mapInPandas(run, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def words_and_stems(text: str) -> Iterator[str]:
-    for raw in set(tokens(text)):
-        if word := raw.strip(EDGE):
-            yield word
-            yield from (f"{word[:n]}*" for n in STEMS if len(word) > n)
+def words_and_stems(sample: DataFrame) -> DataFrame:
+    """Words, and stems of words, by the toxic and other texts that have them.
 
+    A word between the same two neighbours counts once, however many texts repeat that: else what near
+    copies of one toxic text share would look like a sign of toxicity.
+    """
 
-def lexicon(rows: list, prior: float) -> list[str]:
-    """Terms of which few appear in texts that aren't toxic and too many in toxic ones for chance; what a shorter stem says already is left out."""
-    good = {r["word"]: r["pos"] for r in rows}
-    stems = [w for w in sorted(good, key=len) if w.endswith("*")]
-    kept: list[str] = []
-    for s in stems:
-        if not any(s.startswith(k[:-1]) for k in kept):
-            kept.append(s)
-    covered = tuple(k[:-1] for k in kept)
-    return kept + [w for w in good if not w.endswith("*") and not (covered and w.startswith(covered))]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                rows = []
+                for text, y in zip(b["text"][at : at + 500], b["toxic"][at : at + 500], strict=True):
+                    words = ["", *(w.strip(EDGE) for w in tokens(text)), ""]
+                    rows += [(w, zlib.crc32(f"{words[i - 1]} {words[i + 1]}".encode()), y) for w, i in {w: i for i, w in enumerate(words)}.items() if w]
+                yield pd.DataFrame(rows, columns=["word", "between", "toxic"])
+
+    seen = sample.mapInPandas(run, "word string, between long, toxic int").groupBy("word", "between").agg(F.max("toxic").alias("toxic"))
+    words = seen.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    lengths = F.array(*map(F.lit, STEMS))
+    stem = F.explode(F.filter(lengths, lambda n: n < F.length("word"))).alias("n")
+    stems = words.select("word", "pos", "neg", stem).groupBy(F.concat(F.expr("substring(word, 1, n)"), F.lit("*")).alias("word")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return words.unionByName(stems)
+
+
+def lexicon(rows: list, pos: int, neg: int) -> dict[str, float]:
+    """Terms and their log-odds, the best first. Of stems that begin alike only the best stays; words stay beside their stem, for their misspellings."""
+    kept: dict[str, float] = {}
+    below: set[str] = set()  # beginnings of stems that are kept
+    for r in rows:
+        word, stem = r["word"].rstrip("*"), r["word"].endswith("*")
+        if stem and (word in below or any(f"{word[:n]}*" in kept for n in range(1, len(word) + 1))):
+            continue
+        kept[r["word"]] = float(np.log((r["pos"] + 0.5) / (pos + 1)) - np.log((r["neg"] + 0.5) / (neg + 1)))
+        if stem:
+            below.update(word[:n] for n in range(1, len(word)))
+    return kept
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FITTED_ROWS) -> Model:
@@ -249,17 +276,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(prior=(pos + 1) / (n + 2))
     if pos == 0 or pos == n:
         return model
-    prior = pos / n
-    counts = saved(counted(sample, words_and_stems), "word-counts")
-    least = max(2, int(np.ceil(np.log(1e-6) / np.log(prior)))) if n >= 2000 else 2
-    good = counts.where((F.col("pos") >= least) & (F.col("pos") >= 0.9 * (F.col("pos") + F.col("neg")))).orderBy(F.col("pos").desc(), "word").limit(TERMS)
-    model.terms = lexicon(good.collect(), prior)
+    counts = saved(words_and_stems(sample), "word-counts")
+    p, q = F.col("pos") / (F.col("pos") + F.col("neg")), F.lit(pos / n)
+    gain = F.col("pos") * F.log(p / q) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    good = counts.where((F.col("pos") > 1) & (p > 0.5)).withColumn("gain", gain).where(F.col("gain") >= (GAIN if n >= 2000 else SMALL_GAIN))
+    model.terms = lexicon(good.orderBy(F.col("gain").desc(), "word").limit(TERMS).collect(), pos, n - pos)
     trie_terms = model.terms
 
     def like_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = FuzzyTrie(trie_terms)
         for b in batches:
-            yield b[[bool(trie.edits(w)) for w in b["word"]]]
+            yield b[[bool((m := trie.match(w)) and m[0]) for w in b["word"]]]
 
     alike = counts.where((F.col("neg") > 0) & ~F.col("word").endswith("*")).select("word").mapInPandas(like_terms, "word string")
     model.known = {r["word"] for r in alike.collect()}  # of the fitted rows' words alone
@@ -278,7 +305,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match = Matcher(model)
         for b in batches:
-            yield pd.DataFrame([[*features(tokens(t), match, model.context), float(y)] for t, y in zip(b["text"], b["toxic"], strict=True)], columns=[f"f{i}" for i in range(FEATURES + 1)])
+            rows = []
+            for t, y in zip(b["text"], b["toxic"], strict=True):
+                words = tokens(t)
+                rows.append([*features(words, match, model.context), float(y)])
+                if y:  # toxic texts teach once more with their terms misspelled
+                    for i, _, _ in match.hits(words):
+                        words[i] = words[i][: (k := len(words[i]) // 2)] + words[i][k + 1 :]
+                    if match.hits(words):
+                        rows.append([*features(words, match, model.context), 1.0])
+            yield pd.DataFrame(rows, columns=[f"f{i}" for i in range(FEATURES + 1)])
 
     data = np.array([tuple(r) for r in sample.mapInPandas(seen, ", ".join(f"f{i} double" for i in range(FEATURES + 1))).collect()])
     model.weights = fit(data[:, :-1], data[:, -1]).tolist()
