@@ -282,14 +282,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = counts.where((F.col("pos") > 1) & (p > 0.5)).withColumn("gain", gain).where(F.col("gain") >= (GAIN if n >= 2000 else SMALL_GAIN))
     model.terms = lexicon(good.orderBy(F.col("gain").desc(), "word").limit(TERMS).collect(), pos, n - pos)
     trie_terms = model.terms
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
 
     def like_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = FuzzyTrie(trie_terms)
         for b in batches:
-            yield b[[bool((m := trie.match(w)) and m[0]) for w in b["word"]]]
+            found = {(w, h) for t, h in zip(b["text"], b["half"], strict=True) for raw in set(tokens(t)) if (m := trie.match(w := raw.strip(EDGE))) and m[0]}
+            yield pd.DataFrame(list(found), columns=["word", "half"])
 
-    alike = counts.where((F.col("neg") > 0) & ~F.col("word").endswith("*")).select("word").mapInPandas(like_terms, "word string")
-    model.known = {r["word"] for r in alike.collect()}  # of the fitted rows' words alone
+    alike = sample.where("toxic = 0").select("text", half.alias("half")).mapInPandas(like_terms, "word string, half long").distinct().collect()
+    # Words of the fitted rows alone. The weights are fitted on one half with what the other half knows, as new texts will be scored.
+    model.known = {r["word"] for r in alike if r["half"] == 0}
 
     def near_matches(text: str, matchers: list = []) -> list[str]:  # noqa: B006  one matcher a worker
         if not matchers:
@@ -316,8 +319,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         rows.append([*features(words, match, model.context), 1.0])
             yield pd.DataFrame(rows, columns=[f"f{i}" for i in range(FEATURES + 1)])
 
-    data = np.array([tuple(r) for r in sample.mapInPandas(seen, ", ".join(f"f{i} double" for i in range(FEATURES + 1))).collect()])
-    model.weights = fit(data[:, :-1], data[:, -1]).tolist()
+    data = np.array([tuple(r) for r in sample.where(half == 1).mapInPandas(seen, ", ".join(f"f{i} double" for i in range(FEATURES + 1))).collect()]).reshape(-1, FEATURES + 1)
+    if len(set(data[:, -1])) > 1:
+        model.weights = fit(data[:, :-1], data[:, -1]).tolist()
+    model.known |= {r["word"] for r in alike}
     return model
 
 
