@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_count, toxicity, warc
+from . import exact_dedup, line_dedup, packing, simhash, token_count, toxicity, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_counts": token_count.op4_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_warc": warc.op8_warc,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
-SQL = {"op3_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op3_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL}
