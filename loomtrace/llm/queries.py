@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, line_dedup, packing, simhash, token_count, toxicity, warc
+from . import decontamination, exact_dedup, line_dedup, packing, simhash, suffix_dedup, token_count, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_counts": token_count.op4_token_counts,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_warc": warc.op8_warc,
