@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, line_dedup, packing, simhash, suffix_dedup, token_count, toxicity, warc
+from . import chaining, decontamination, exact_dedup, line_dedup, packing, simhash, suffix_dedup, token_count, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op10_collinear_chaining": chaining.op10_collinear_chaining,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_counts": token_count.op4_token_counts,
