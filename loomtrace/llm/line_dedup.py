@@ -17,49 +17,58 @@ DEPTH = 3
 #: Lines of fewer words stay. Of a template at least this share of words must be constant.
 LEAST_WORDS, CONSTANT = 3, 0.6
 WILD = "<*>"
-SPACES = "[ \\t\\r\\x0b\\x0c]+"
+#: A word with a field that always varies, once words are separated by one space.
 FIELD = "[^ ]*(?:[0-9@]|://)[^ ]*"
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACES, -1), lambda w: w != "")
+def count_of(line: Column, what: str) -> Column:
+    return ((F.length(line) - F.length(F.replace(line, F.lit(what), F.lit("")))) / len(what)).cast("int")
 
 
-def masked(words: Column) -> Column:
-    """Words with fields that always vary as wild cards; the words themselves if too many are wild."""
-    wild = F.transform(words, lambda w: F.when(w.rlike(FIELD), WILD).otherwise(w))
-    constant = F.size(F.filter(wild, lambda w: w != WILD))
-    return F.when(constant >= CONSTANT * F.size(wild), wild).otherwise(words)
+def normal(lines: DataFrame) -> DataFrame:
+    """Bring `line` to its normal form, words parted by one space and fields masked, and add n (its words), leaf and name."""
+    spaced = F.col("line")
+    for c in "\t\r\x0b\x0c":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    lines = lines.withColumn("line", F.trim(spaced))
+    lines = lines.withColumn("line", F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", " +", " ")).otherwise(F.col("line")))
+    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(1 + count_of(F.col("line"), " "))).where(F.col("n") >= LEAST_WORDS)
+    lines = lines.withColumn("masked", F.when(F.col("line").rlike("[0-9@:]"), F.regexp_replace("line", FIELD, WILD)).otherwise(F.col("line")))
+    constant = F.col("n") - count_of(F.col("masked"), WILD)
+    lines = lines.withColumn("line", F.when(constant >= CONSTANT * F.col("n"), F.col("masked")).otherwise(F.col("line"))).drop("masked")
+    return lines.withColumns({"leaf": F.xxhash64("n", F.substring_index("line", " ", DEPTH)), "name": F.unhex(F.md5(F.col("line").cast("binary")))})
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, pos, words (masked) and leaf of the lines that have enough words."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("pos", "line"))
-    lines = lines.where("doc_id IS NOT NULL").select("doc_id", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") >= LEAST_WORDS)
-    lines = lines.withColumn("words", masked(F.col("words")))
-    leaf = F.concat_ws(" ", F.size("words").cast("string"), F.slice("words", 1, DEPTH))
-    return lines.withColumn("leaf", F.md5(leaf.cast("binary"))).withColumn("line", F.md5(F.array_join("words", " ").cast("binary")))
+def split_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.split(text_of(text_col), "\n", -1).alias("lines")).where("doc_id IS NOT NULL")
 
 
-def templates(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """(line, template) of the distinct lines in leaves that hold several, where generalising changes the line."""
-    leaves = saved(found.groupBy("leaf").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least < most").select("leaf"), "leaves")
-    distinct = lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "words").dropDuplicates(["leaf", "line"])
-    words = saved(distinct.select("leaf", "line", F.posexplode("words").alias("at", "word")), "words")
+def templates(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, template) of the distinct lines in leaves that hold several, where generalising changes the line.
+
+    docs has doc_id and lines. Each distinct line is fetched from the first document that has it; that join
+    is by sorting at every size, so that its cost follows the input.
+    """
+    content = F.xxhash64("name")
+    leaves = saved(found.groupBy("leaf").agg(F.min(content).alias("least"), F.max(content).alias("most")).where("least < most").select("leaf"), "leaves")
+    ones = found.join(leaves, "leaf", "left_semi").groupBy("leaf", "name").agg(F.min(F.struct("doc_id", "pos")).alias("one"))
+    asked = ones.groupBy("one.doc_id").agg(F.collect_list(F.struct("one.pos", F.col("name").alias("wanted"))).alias("asked"))
+    fetched = docs.join(asked.hint("merge"), "doc_id").select(F.explode(F.transform("asked", lambda a: F.struct(F.get(F.col("lines"), a["pos"]).alias("line"), a["wanted"].alias("wanted")))).alias("x")).select("x.*")
+    distinct = normal(fetched.where("line IS NOT NULL")).where("name = wanted").dropDuplicates(["leaf", "name"])
+    words = saved(distinct.select("leaf", "name", F.posexplode(F.split("line", " ")).alias("at", "word")), "words")
     constant = saved(words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "at", "word", F.lit(True).alias("constant")), "constant")
-    marked = words.join(constant, ["leaf", "at", "word"], "left_outer").select("line", "leaf", "at", F.when(F.col("constant") & (F.col("word") != WILD), F.col("word")).alias("word"))
-    made = marked.groupBy("line", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(WILD)).alias("word")))).alias("all"), F.count("word").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = words.join(constant, ["leaf", "at", "word"], "left_outer").select("name", "leaf", "at", F.when(F.col("constant") & (F.col("word") != WILD), F.col("word")).alias("word"))
+    made = marked.groupBy("name", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(WILD)).alias("word")))).alias("all"), F.count("word").alias("kept"), F.count(F.lit(1)).alias("n"))
     made = made.where(F.col("kept") >= CONSTANT * F.col("n"))
-    return made.select("line", F.md5(F.concat_ws(" ", F.col("leaf"), F.array_join(F.transform("all", lambda x: x["word"]), " ")).cast("binary")).alias("template"))
+    return made.select("name", F.unhex(F.md5(F.concat(F.lit("template "), F.array_join(F.transform("all", lambda x: x["word"]), " ")).cast("binary"))).alias("template"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, dropped): for documents that lose lines, the numbers of those lines, from 0."""
-    lines = lines_of(docs, id_col, text_col)
-    found = saved(lines.select("doc_id", "pos", "leaf", "line"), "lines")
-    made = saved(templates(lines, found), "templates")
-    known = found.select("doc_id", "pos", "line").join(made, "line", "left_outer").select("doc_id", "pos", F.coalesce("template", "line").alias("template"))
-    known = saved(known, "line-templates")
+    texts = split_texts(docs, id_col, text_col)
+    found = saved(normal(texts.select("doc_id", F.posexplode("lines").alias("pos", "line"))).select("doc_id", "pos", "leaf", "name"), "lines")
+    made = saved(templates(texts, found), "templates")
+    known = found.select("doc_id", "pos", "name").join(made, "name", "left_outer").select("doc_id", "pos", F.coalesce("template", "name").alias("template"))
     firsts = saved(known.groupBy("template").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("template", "first"), "firsts")
     again = known.join(firsts, "template").where(F.col("doc_id") > F.col("first"))
     return again.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
@@ -74,11 +83,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing; a null text stays null. With `dropped_col` the number of lines taken out is added there.
     """
     gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(gone, docs[id_col] == gone["__id"], "left_outer")
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    text = F.when(F.col("__dropped").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
+    # Split below the join, so that the lines are a column of it and not worked out anew for each line.
+    split = docs.select(*(F.split(F.col(c).cast("string"), "\n", -1).alias("__lines") if c == text_col else F.col(c) for c in docs.columns))
+    joined = split.join(gone, split[id_col] == gone["__id"], "left_outer")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
+    left = F.when(F.col("__dropped").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("__lines"), i)))
+    columns = [F.array_join(left, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     extra = [F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long").alias(dropped_col)] if dropped_col else []
     return joined.select(*columns, *extra)
 
@@ -96,10 +106,10 @@ WITH raw AS (
 numbered AS (
   SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM raw),
 split AS (
-  SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[ \t\r\x0b\x0c]+'), lambda w: w <> '') AS words FROM numbered),
+  SELECT doc_id, pos, trim(regexp_replace(line, '[ \t\r\x0b\x0c]+', ' ', 'g')) AS line FROM numbered),
 wild AS (
-  SELECT doc_id, pos, words, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '<*>' ELSE w END) AS wild
-  FROM split WHERE len(words) >= 3),
+  SELECT doc_id, pos, string_split(line, ' ') AS words, list_transform(string_split(line, ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '<*>' ELSE w END) AS wild
+  FROM split WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
 lines AS (
   SELECT doc_id, pos, CASE WHEN len(list_filter(wild, lambda w: w <> '<*>')) >= 0.6 * len(wild) THEN wild ELSE words END AS words FROM wild),
 leafed AS (
@@ -115,7 +125,7 @@ marked AS (
   SELECT e.line, e.leaf, e.place, CASE WHEN c.word IS NOT NULL AND e.word <> '<*>' THEN e.word END AS word
   FROM each e LEFT JOIN constant c ON e.leaf = c.leaf AND e.place = c.place AND e.word = c.word),
 made AS (
-  SELECT line, leaf || ' ' || string_agg(coalesce(word, '<*>'), ' ' ORDER BY place) AS template
+  SELECT line, string_agg(coalesce(word, '<*>'), ' ' ORDER BY place) AS template
   FROM marked GROUP BY line, leaf HAVING count(word) >= 0.6 * count(*)),
 known AS (
   SELECT l.doc_id, l.pos, coalesce('t' || m.template, 'l' || l.line) AS template FROM leafed l LEFT JOIN made m ON l.line = m.line),
