@@ -3,7 +3,8 @@
 The tree sends a line first by its number of words, then by its leading words, to a leaf. Fields that
 vary are generalised: words with a digit, an @ or a scheme always, and in a leaf any word that no other
 line of the leaf has at that place. Lines with the same template are one; of templates that recur across
-documents the lines of the first document stay and those of the others are dropped.
+documents the lines of the first document stay and those of the others are dropped. A line or a template is
+known by two 64-bit hashes, of its leaf and of itself.
 """
 
 from __future__ import annotations
@@ -26,17 +27,20 @@ def count_of(line: Column, what: str) -> Column:
 
 
 def normal(lines: DataFrame) -> DataFrame:
-    """Bring `line` to its normal form, words parted by one space and fields masked, and add n (its words), leaf and name."""
+    """Bring `line` to its normal form, words parted by one space and fields masked, and add n (its words), leaf and id.
+
+    Nothing is filtered by n here: Catalyst would work out the whole form once more for the filter.
+    """
     spaced = F.col("line")
     for c in "\t\r\x0b\x0c":
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     lines = lines.withColumn("line", F.trim(spaced))
     lines = lines.withColumn("line", F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", " +", " ")).otherwise(F.col("line")))
-    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(1 + count_of(F.col("line"), " "))).where(F.col("n") >= LEAST_WORDS)
+    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(1 + count_of(F.col("line"), " ")))
     lines = lines.withColumn("masked", F.when(F.col("line").rlike("[0-9@:]"), F.regexp_replace("line", FIELD, WILD)).otherwise(F.col("line")))
     constant = F.col("n") - count_of(F.col("masked"), WILD)
     lines = lines.withColumn("line", F.when(constant >= CONSTANT * F.col("n"), F.col("masked")).otherwise(F.col("line"))).drop("masked")
-    return lines.withColumns({"leaf": F.xxhash64("n", F.substring_index("line", " ", DEPTH)), "name": F.unhex(F.md5(F.col("line").cast("binary")))})
+    return lines.withColumns({"leaf": F.xxhash64("n", F.substring_index("line", " ", DEPTH)), "id": F.xxhash64("line")})
 
 
 def split_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,33 +48,32 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def templates(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(name, template) of the distinct lines in leaves that hold several, where generalising changes the line.
+    """(leaf, id, template) of the distinct lines in leaves that hold several, where generalising changes the line.
 
     docs has doc_id and lines. Each distinct line is fetched from the first document that has it; that join
     is by sorting at every size, so that its cost follows the input.
     """
-    content = F.xxhash64("name")
-    leaves = saved(found.groupBy("leaf").agg(F.min(content).alias("least"), F.max(content).alias("most")).where("least < most").select("leaf"), "leaves")
-    ones = found.join(leaves, "leaf", "left_semi").groupBy("leaf", "name").agg(F.min(F.struct("doc_id", "pos")).alias("one"))
-    asked = ones.groupBy("one.doc_id").agg(F.collect_list(F.struct("one.pos", F.col("name").alias("wanted"))).alias("asked"))
+    leaves = saved(found.groupBy("leaf").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("leaf"), "leaves")
+    ones = found.join(leaves, "leaf", "left_semi").groupBy("leaf", "id").agg(F.min(F.struct("doc_id", "pos")).alias("one"))
+    asked = ones.groupBy("one.doc_id").agg(F.collect_list(F.struct("one.pos", F.col("id").alias("wanted"))).alias("asked"))
     fetched = docs.join(asked.hint("merge"), "doc_id").select(F.explode(F.transform("asked", lambda a: F.struct(F.get(F.col("lines"), a["pos"]).alias("line"), a["wanted"].alias("wanted")))).alias("x")).select("x.*")
-    distinct = normal(fetched.where("line IS NOT NULL")).where("name = wanted").dropDuplicates(["leaf", "name"])
-    words = saved(distinct.select("leaf", "name", F.posexplode(F.split("line", " ")).alias("at", "word")), "words")
+    distinct = normal(fetched.where("line IS NOT NULL")).where("id = wanted").dropDuplicates(["leaf", "id"])
+    words = saved(distinct.select("leaf", "id", F.posexplode(F.split("line", " ")).alias("at", "word")), "words")
     constant = saved(words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "at", "word", F.lit(True).alias("constant")), "constant")
-    marked = words.join(constant, ["leaf", "at", "word"], "left_outer").select("name", "leaf", "at", F.when(F.col("constant") & (F.col("word") != WILD), F.col("word")).alias("word"))
-    made = marked.groupBy("name", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(WILD)).alias("word")))).alias("all"), F.count("word").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = words.join(constant, ["leaf", "at", "word"], "left_outer").select("leaf", "id", "at", F.when(F.col("constant") & (F.col("word") != WILD), F.col("word")).alias("word"))
+    made = marked.groupBy("leaf", "id").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(WILD)).alias("word")))).alias("all"), F.count("word").alias("kept"), F.count(F.lit(1)).alias("n"))
     made = made.where(F.col("kept") >= CONSTANT * F.col("n"))
-    return made.select("name", F.unhex(F.md5(F.concat(F.lit("template "), F.array_join(F.transform("all", lambda x: x["word"]), " ")).cast("binary"))).alias("template"))
+    return made.select("leaf", "id", F.xxhash64(F.lit("template"), F.array_join(F.transform("all", lambda x: x["word"]), " ")).alias("template"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, dropped): for documents that lose lines, the numbers of those lines, from 0."""
     texts = split_texts(docs, id_col, text_col)
-    found = saved(normal(texts.select("doc_id", F.posexplode("lines").alias("pos", "line"))).select("doc_id", "pos", "leaf", "name"), "lines")
+    found = saved(normal(texts.select("doc_id", F.posexplode("lines").alias("pos", "line"))).select("doc_id", "pos", "n", "leaf", "id"), "lines").where(F.col("n") >= LEAST_WORDS).drop("n")
     made = saved(templates(texts, found), "templates")
-    known = found.select("doc_id", "pos", "name").join(made, "name", "left_outer").select("doc_id", "pos", F.coalesce("template", "name").alias("template"))
-    firsts = saved(known.groupBy("template").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("template", "first"), "firsts")
-    again = known.join(firsts, "template").where(F.col("doc_id") > F.col("first"))
+    known = found.join(made, ["leaf", "id"], "left_outer").select("doc_id", "pos", "leaf", F.coalesce("template", "id").alias("template"))
+    firsts = saved(known.groupBy("leaf", "template").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("leaf", "template", "first"), "firsts")
+    again = known.join(firsts, ["leaf", "template"]).where(F.col("doc_id") > F.col("first"))
     return again.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
 
 
