@@ -88,12 +88,18 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, sampled: int = SAMPL
     parts = max(1, -(-groups.agg(F.coalesce(F.sum(F.when(F.col("contexts") <= bucket, F.col("contexts"))), F.lit(0))).first()[0] // task))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, rows = ["here", "key", "first", "bytes", "alone", "contexts"], []
         for b in batches:
             for key, text, marks in zip(b["key"].tolist(), b["text"], b["marks"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                rows = [(m["here"], key, m["span"] >> 8, data[m["span"] >> 8 : (m["span"] >> 8) + (m["span"] & 255) + length], m["alone"], m["contexts"]) for m in marks]
-                for at in range(0, len(rows), 5000):
-                    yield pd.DataFrame(rows[at : at + 5000], columns=["here", "key", "first", "bytes", "alone", "contexts"])
+                for m in marks:
+                    first = m["span"] >> 8
+                    rows.append((m["here"], key, first, data[first : first + (m["span"] & 255) + length], m["alone"], m["contexts"]))
+                    if len(rows) >= 5000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     cuts = texts.join(marks, "key", "inner").mapInPandas(cut, "here long, key long, first long, bytes binary, alone boolean, contexts long")
 
