@@ -1,9 +1,10 @@
 """Benchmark items that training documents contain, as they are or edited.
 
-Runs of three words of the items are looked up in the documents. Each is counted over all documents, and
-of neighbouring runs of an item only the rare ones are seeds. A seed joins the passage around it to the
-item, and a Smith-Waterman alignment of the words tells how much of the item the passage holds. Three
-words suffice to miss nothing by substitution: of n words with a fifth replaced, three in a row are left.
+Runs of three words of the items are looked up in the documents, and every shared run is a seed, however
+many documents have it. Items of which the document has too few words go at once. A seed joins the passage
+around it to the item, and a Smith-Waterman alignment of the words tells how much of the item the passage
+holds. Three words suffice to miss nothing by substitution: of n words with a fifth replaced, three in a
+row are left.
 
 The items are the stated query set. They go to every task in blocks of at most BLOCK_WORDS words, so what
 is broadcast has a fixed bound; the documents are never shuffled.
@@ -12,8 +13,7 @@ is broadcast has a fixed bound; the documents are never shuffled.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -26,8 +26,6 @@ from .common import table, text_of
 
 RUN, SIMILARITY = 3, 0.8
 BLOCK_WORDS = 1_000_000
-#: A run is a seed if it is in at most RARER times as many documents as the rarest of the NEIGHBOURS around it, or in FEW.
-NEIGHBOURS, RARER, FEW = 9, 3, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 
@@ -60,15 +58,24 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Items:
-    """A block of items: their words as numbers, and the runs of three as sorted keys."""
+    """A block of items: their words as numbers, and the runs of three as sorted keys.
+
+    Where a key has several places, and an item several words, they stand one after the other; `first` and
+    `word_first` tell where those of each begin.
+    """
 
     ids: list
     vocabulary: dict[str, int]
     words: list[np.ndarray]
     keys: np.ndarray  # distinct runs, sorted
-    at: list[list[tuple[int, int]]]  # item and place of each run
+    first: np.ndarray
+    at_item: np.ndarray  # item and place of each run
+    at_place: np.ndarray
+    word_first: np.ndarray
+    word: np.ndarray  # distinct words of each item, and how often it has each
+    often: np.ndarray
     short: dict[int, list[int]]  # items of fewer than three words, by their first word
-    seeds: np.ndarray | None = None
+    seen: np.ndarray | None = None  # times a text has each word; zeros between texts
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
@@ -82,7 +89,11 @@ class Items:
             if 0 < len(w) < RUN:
                 short.setdefault(int(w[0]), []).append(n)
         keys = np.array(sorted(found), dtype=np.int64)
-        return cls([i for i, _ in rows], vocabulary, words, keys, [found[k] for k in keys.tolist()], short)
+        at = [found[k] for k in keys.tolist()]
+        places = np.array([x for some in at for x in some], dtype=np.int64).reshape(-1, 2)
+        distinct = [np.unique(w, return_counts=True) for w in words]
+        word, often = (np.concatenate([d[i] for d in distinct]) for i in (0, 1))
+        return cls([i for i, _ in rows], vocabulary, words, keys, starts(map(len, at)), places[:, 0], places[:, 1], starts(len(d[0]) for d in distinct), word, often, short)
 
     def numbers(self, text: str) -> np.ndarray:
         """The document's words; -1 for those of no item."""
@@ -98,49 +109,79 @@ class Items:
         same = keys[which] == k[places]
         return places[same], which[same]
 
-    def rare(self, counts: np.ndarray) -> np.ndarray:
-        """The runs that serve as seeds, by the documents that have each."""
-        keep = np.zeros(len(self.keys), dtype=bool)
-        for w in self.words:
-            own = np.searchsorted(self.keys, runs(w))
-            n = counts[own]
-            for i, run in enumerate(own.tolist()):
-                least = n[max(0, i - NEIGHBOURS // 2) : i + NEIGHBOURS // 2 + 1].min()
-                keep[run] |= n[i] <= max(FEW, RARER * least)
-        return np.flatnonzero(keep)
+    def held(self, items: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """How many words of each item the text has, in any order: no alignment matches more."""
+        if self.seen is None:
+            self.seen = np.zeros(len(self.vocabulary), dtype=np.int64)
+        words, n = np.unique(text[text >= 0], return_counts=True)
+        self.seen[words] = n
+        at, sizes = spread(self.word_first, items)
+        total = np.add.reduceat(np.minimum(self.seen[self.word[at]], self.often[at]), np.cumsum(sizes) - sizes)
+        self.seen[words] = 0
+        return total
+
+    def regions(self, numbers: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """The parts of the text around the runs it shares with items that it may hold, by item."""
+        places, which = self.hits(numbers, self.keys)
+        if not len(places):
+            return {}
+        items = np.unique(self.at_item[spread(self.first, np.unique(which))[0]])
+        maybe = np.zeros(len(self.words), dtype=bool)
+        lengths = np.array([len(self.words[i]) for i in items.tolist()])
+        maybe[items] = self.held(items, numbers) >= SIMILARITY * lengths
+        if not maybe.any():
+            return {}
+        out: dict[int, list[tuple[int, int]]] = {}
+        at, sizes = spread(self.first, which)
+        ok = maybe[self.at_item[at]]
+        at, p = at[ok], np.repeat(places, sizes)[ok]
+        for item, shift in np.unique(np.stack((self.at_item[at], p - self.at_place[at]), axis=1), axis=0).tolist():
+            n = len(self.words[item])
+            out.setdefault(item, []).append((max(0, shift - n // 2), shift + n + n // 2 + 1))
+        return out
 
     def matches(self, numbers: np.ndarray) -> Iterator[tuple]:
         """(item, similarity, first word, end) of the items that the document holds, the best place of each."""
-        regions: dict[int, list[tuple[int, int]]] = {}
-        places, which = self.hits(numbers, self.keys[self.seeds])
-        for p, k in zip(places.tolist(), which.tolist(), strict=True):
-            for item, q in self.at[self.seeds[k]]:
-                n = len(self.words[item])
-                regions.setdefault(item, []).append((max(0, p - q - n // 2), p - q + n + n // 2 + 1))
+        regions = self.regions(numbers)
         for first, items in self.short.items():
             for item in items:
                 regions[item] = [(int(p), int(p) + len(self.words[item])) for p in np.flatnonzero(numbers == first)]
         for item, spans in regions.items():
             a = self.words[item]
-            need = Counter(a.tolist())
-            best, to = (0, 0, 0), -1
-            merged: list[list[int]] = []
+            one, least = np.array([item]), SIMILARITY * len(a)
+            best = (0, 0, 0)
+            merged: list[list[tuple[int, int]]] = []
+            to = -1
             for s, e in sorted(spans):
                 if merged and s < to:
-                    to = merged[-1][1] = max(to, e)
+                    merged[-1].append((s, e))
                 else:
-                    merged.append([s, e])
-                    to = e
-            for s, e in merged:
-                b = numbers[s:e]
-                seen = Counter(b[b >= 0].tolist())
-                if sum(min(n, seen[w]) for w, n in need.items()) >= SIMILARITY * len(a):
-                    m, start, end = align(a, b)
-                    best = max(best, (m, -(s + start), s + end))
+                    merged.append([(s, e)])
+                to = max(to, e)
+            for some in merged:
+                # Where the best alignment of all together is of too few words, another part may hold the item yet.
+                for s, e in dict.fromkeys([(some[0][0], max(e for _, e in some)), *some]):
+                    b = numbers[s:e]
+                    if self.held(one, b)[0] >= least:
+                        m, start, end = align(a, b)
+                        best = max(best, (m, -(s + start), s + end))
+                        if m >= least:
+                            break
             if best[0] >= SIMILARITY * len(a) and best[0]:
                 yield self.ids[item], best[0] / len(a), -best[1], best[2]
 
 
+def starts(sizes: Iterable[int]) -> np.ndarray:
+    """Where each of parts of these sizes begins, and where the last ends."""
+    return np.cumsum([0, *sizes])
+
+
+def spread(first: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all members of `parts`, part by part, and how many each has."""
+    sizes = first[parts + 1] - first[parts]
+    return np.arange(sizes.sum()) + np.repeat(first[parts] - np.cumsum(sizes) + sizes, sizes), sizes
+
+
 def runs(numbers: np.ndarray) -> np.ndarray:
     """A key for each run of three words, below 0 if one of them is in no item. Numbers are below 2^20."""
     a, b, c = numbers[:-2], numbers[1:-1], numbers[2:]
@@ -177,26 +218,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = spark.createDataFrame([], schema)
     for rows in blocks(benchmark, item_col, item_text_col):
         items = Items.of(rows)
-        first = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(items)
 
-        def count(batches: Iterator[pd.DataFrame], first=first) -> Iterator[pd.DataFrame]:
-            block = first.value
-            total = np.zeros(len(block.keys), dtype=np.int64)
-            for b in batches:
-                for t in b["text"]:
-                    total[np.unique(block.hits(block.numbers(t), block.keys)[1])] += 1
-            yield pd.DataFrame({"run": np.flatnonzero(total), "n": total[total > 0]})
-
-        # One row for each run of the block at most.
-        counted = texts.select("text").mapInPandas(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(len(items.keys), dtype=np.int64)
-        for r in counted:
-            counts[r["run"]] = r["n"]
-        items.seeds = items.rare(counts)
-        second = spark.sparkContext.broadcast(items)
-
-        def find(batches: Iterator[pd.DataFrame], second=second) -> Iterator[pd.DataFrame]:
-            block = second.value
+        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            block = shared.value
             for b in batches:
                 rows = [(doc_id, *m) for doc_id, t in zip(b["doc_id"].tolist(), b["text"], strict=True) for m in block.matches(block.numbers(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "start", "end"])
