@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from loomtrace.llm import decontamination
 
 
@@ -22,3 +23,44 @@ def test_edited_items_in_many_copies(spark):
     got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(d, d // 10_000) for d, _ in rows if d >= 10_000} and len(got) == 9000
     assert {(r.item_id, round(r.similarity, 3)) for r in got} == {(1, 0.8), (2, 0.9), (3, round(11 / 12, 3))}
+
+
+def test_near_duplicate_stage(spark):
+    """The stage keeps what brute force keeps: copies edited to every similarity, chains of them, a large group, and texts of the tables."""
+    rng = random.Random(12)
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    number = 1_000_000
+    for n in range(60):
+        words = invented(rng, 40 + 3 * n)
+        texts[number] = " ".join(words)
+        for k in range(1, 6):
+            words = words.copy() if n % 2 else texts[number].split()  # chains, or copies of the first
+            for _ in range(1 + (n + k) % 5):
+                words[rng.randrange(len(words))] = "edited"
+            texts[number + k] = " ".join(words)
+        number += 10
+    base = invented(rng, 200)
+    for i in range(250):
+        words = base.copy()
+        words[rng.randrange(200)] = words[rng.randrange(200)] = f"edit{i}"
+        texts[number + i] = " ".join(words)
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in texts.items() if (w := (t or "").lower().split()) or True}
+    up = {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids, between = sorted(texts), 0
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                between += both < 0.95 * len(sets[a] | sets[b])
+                lo, hi = sorted((top(a), top(b)))
+                up[hi] = lo
+    assert between > 100
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in ids if top(i) == i]
