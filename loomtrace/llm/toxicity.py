@@ -30,8 +30,8 @@ THRESHOLD = 0.7
 QUOTES = "\"“”„«»"
 EDGE = ".,;:!?()[]{}<>'`’‘…-" + QUOTES
 FEATURES = 8
-#: Log-likelihood that a term must gain over chance, for samples of 2,000 texts and up, and below.
-GAIN, SMALL_GAIN = 15.0, 6.0
+#: Log-likelihood that a term must gain over chance, the same for samples of all sizes.
+GAIN = 6.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -279,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = saved(words_and_stems(sample), "word-counts")
     p, q = F.col("pos") / (F.col("pos") + F.col("neg")), F.lit(pos / n)
     gain = F.col("pos") * F.log(p / q) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - p) / (1 - q))).otherwise(0.0)
-    good = counts.where((F.col("pos") > 1) & (p > 0.5)).withColumn("gain", gain).where(F.col("gain") >= (GAIN if n >= 2000 else SMALL_GAIN))
+    good = counts.where((F.col("pos") > 1) & (p > 0.5)).withColumn("gain", gain).where(F.col("gain") >= GAIN)
     model.terms = lexicon(good.orderBy(F.col("gain").desc(), "word").limit(TERMS).collect(), pos, n - pos)
     trie_terms = model.terms
     half = F.pmod(F.xxhash64("text"), F.lit(2))

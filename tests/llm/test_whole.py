@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from loomtrace.llm import decontamination
+from pyspark.sql import functions as F
+
+from loomtrace.llm import decontamination, toxicity
 
 
 def invented(rng, n):
@@ -64,3 +66,21 @@ def test_near_duplicate_stage(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in ids if top(i) == i]
+
+
+def test_toxic_terms_of_few_texts_in_a_large_sample(spark):
+    """More than 2,000 fitted rows; each toxic term is in about six fitted texts."""
+    rng = random.Random(13)
+    terms = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(6)) for _ in range(60)]
+    clean = [w for w in invented(rng, 150) if len(w) > 4]
+    rows = []
+    for d in range(4800):
+        words = [rng.choice(clean) for _ in range(40)]
+        if d % 9 == 0:
+            words[rng.randrange(40)] = terms[d // 9 % 60]
+        rows.append((d, " ".join(words), int(d % 9 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert table.where(~toxicity.held_out(F.col("doc_id"))).count() > 2000
+    held = toxicity.toxicity(table.drop("toxic"), table.drop("text")).where("held_out").join(table, "doc_id").toPandas()
+    toxic = held.toxic == 1
+    assert (held.predicted[toxic] == 1).mean() > 0.8 and (held.predicted[~toxic] == 1).mean() < 0.02
