@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import saved, table, text_of
 
 DEPTH = 3
-#: Lines of fewer words stay. Of a template at least this share of words must be constant.
+#: Lines of fewer words stay unless the caller sets another least number. Of a template at least this share of words must be constant.
 LEAST_WORDS, CONSTANT = 3, 0.6
 WILD = "<*>"
 #: A word with a field that always varies, once words are separated by one space.
@@ -66,10 +66,10 @@ def templates(docs: DataFrame, found: DataFrame) -> DataFrame:
     return made.select("leaf", "id", F.xxhash64(F.lit("template"), F.array_join(F.transform("all", lambda x: x["word"]), " ")).alias("template"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, dropped): for documents that lose lines, the numbers of those lines, from 0."""
     texts = split_texts(docs, id_col, text_col)
-    found = saved(normal(texts.select("doc_id", F.posexplode("lines").alias("pos", "line"))).select("doc_id", "pos", "n", "leaf", "id"), "lines").where(F.col("n") >= LEAST_WORDS).drop("n")
+    found = saved(normal(texts.select("doc_id", F.posexplode("lines").alias("pos", "line"))).select("doc_id", "pos", "n", "leaf", "id"), "lines").where(F.col("n") >= least_words).drop("n")
     made = saved(templates(texts, found), "templates")
     known = found.join(made, ["leaf", "id"], "left_outer").select("doc_id", "pos", "leaf", F.coalesce("template", "id").alias("template"))
     firsts = saved(known.groupBy("leaf", "template").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("leaf", "template", "first"), "firsts")
@@ -77,15 +77,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return again.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the recurring lines taken out of the text; all rows and columns stay.
 
     A template recurs if documents of two ids have it; the lines of the smallest id stay. Lines repeated
-    within one document only, blank lines and lines of fewer than LEAST_WORDS words stay. Rows repeated
+    within one document only, blank lines and lines of fewer than `least_words` words stay. Rows repeated
     under one id are one document and lose the same lines; rows with a null id lose none and count for
     nothing; a null text stays null. With `dropped_col` the number of lines taken out is added there.
     """
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+    gone = dropped_lines(docs, id_col, text_col, max(1, least_words)).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
     # Split below the join, so that the lines are a column of it and not worked out anew for each line.
     split = docs.select(*(F.split(F.col(c).cast("string"), "\n", -1).alias("__lines") if c == text_col else F.col(c) for c in docs.columns))
     joined = split.join(gone, split[id_col] == gone["__id"], "left_outer")

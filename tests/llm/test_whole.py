@@ -84,3 +84,9 @@ def test_toxic_terms_of_few_texts_in_a_large_sample(spark):
     held = toxicity.toxicity(table.drop("toxic"), table.drop("text")).where("held_out").join(table, "doc_id").toPandas()
     toxic = held.toxic == 1
     assert (held.predicted[toxic] == 1).mean() > 0.8 and (held.predicted[~toxic] == 1).mean() < 0.02
+
+
+def test_short_lines_recur_in_the_pipeline(spark):
+    docs = spark.createDataFrame([(d, f"Menu\nRead more\n\nword{'abcdef'[d]} of its own\nSign in") for d in range(6)], "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_recurring_lines(spark, docs, "").collect()}
+    assert kept == {d: t if d == 0 else f"\nword{'abcdef'[d]} of its own" for d, t in ((r.doc_id, r.text) for r in docs.collect())}
