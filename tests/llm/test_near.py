@@ -138,8 +138,94 @@ def test_passages(spark, odd_docs, no_docs):
     words = {i: chaining.words_of(t) for i, t in rows}
     alike = {i for i in words for j in words if i != j and chaining.passages(words[i], words[j])}
     assert alike == set(got.doc_id)
-    odd = chaining.shared_passages(odd_docs)
-    assert odd.count() >= 0 and chaining.shared_passages(no_docs).count() == 0
+    odd = {(r.doc_id, r.partner_id, r.start, r.end, r.similarity) for r in chaining.shared_passages(odd_docs).collect()}
+    assert odd == set() and chaining.shared_passages(no_docs).count() == 0
+
+
+def alike_on_a_diagonal(a, b, words=50, share=0.8):
+    """Brute force: whether somewhere `words` words in a row of a and b have that share in common."""
+    for d in range(words - len(a), len(b) - words + 1):
+        x, y = (a[-d:], b) if d < 0 else (a, b[d:])
+        n = min(len(x), len(y))
+        sums = np.concatenate(([0], np.cumsum(x[:n] == y[:n])))
+        if n >= words and (sums[words:] - sums[:-words]).max() >= share * words:
+            return True
+    return False
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b, 1):
+            row.append(max(old[j], row[-1], old[j - 1] + (x == y)))
+    return row[-1]
+
+
+def test_passages_against_all_pairs(spark):
+    """Passages of 80 words with every share of words replaced, in large and small groups, beside frequent phrases: all pairs by brute force."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: [word() for _ in range(n)]
+    phrase = text(24)
+    rows, number = [], 0
+    for edits in (0, 6, 10, 13, 14):
+        for _ in range(12):
+            passage = text(80)
+            for n in range(2):
+                edited = passage.copy()
+                for i in rng.sample(range(80), edits if n else 0):
+                    edited[i] = word()
+                rows.append((number, text(20) + (phrase if rng.random() < 0.5 else []) + text(rng.randrange(60)) + edited + text(30), edits))
+                number += 1
+    rows += [(number + i, text(40) + phrase + text(40), None) for i in range(40)]
+    group = text(90)
+    for i in range(60):
+        edited = group.copy()
+        for k in rng.sample(range(90), 4):
+            edited[k] = word()
+        rows.append((number + 100 + i, text(10) + phrase + text(30) + edited + text(20), None))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w, _ in rows], "doc_id long, text string")
+    got = chaining.shared_passages(df).collect()
+    texts = {i: w for i, w, _ in rows}
+    words = {i: chaining.words_of(" ".join(w)) for i, w in texts.items()}
+    pairs = {(a, b) for a in texts for b in texts if a < b and alike_on_a_diagonal(words[a], words[b])}
+    want = closure(pairs, texts)
+    classes = {r.doc_id: r.class_id for r in got}
+    linked = {i for p in pairs for i in p}
+    assert set(classes) <= linked
+    for edits in (0, 6, 10, 13, 14):
+        some = [i for i, _, e in rows if e == edits and i in linked]
+        assert len(some) > 20 and sum(classes.get(i) == want[i] for i in some) >= 0.9 * len(some), edits
+    assert all(classes.get(number + 100 + i) == number + 100 for i in range(60))
+    for r in got:
+        assert r.partner_id != r.doc_id and r.end - r.start >= 50 and r.similarity >= 0.8
+        assert common_words(texts[r.doc_id][r.start : r.end], texts[r.partner_id]) >= 0.8 * (r.end - r.start) - 1
+
+
+def test_two_passages_of_a_pair_and_repeats():
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    p, q = new(60), new(60)
+    a, b = np.concatenate((p, new(20), q)), np.concatenate((p, new(20), q))
+    assert chaining.passages(a, b) == [(0, 140, 0, 140, pytest.approx(120 / 140))]
+    a, b = np.concatenate((p, new(45), q)), np.concatenate((p, new(45), q))
+    assert sorted(x[:4] for x in chaining.passages(a, b)) == [(0, 60, 0, 60), (105, 165, 105, 165)]
+    a, b = np.concatenate((p, new(300), q)), np.concatenate((q, new(10), p))
+    assert sorted(x[:4] for x in chaining.passages(a, b)) == [(0, 60, 70, 130), (360, 420, 0, 60)]
+    line = new(6)
+    a = b = np.concatenate((p, np.tile(line, 30), q))
+    assert chaining.passages(a, b)[0][:4] == (0, 300, 0, 300)
+    assert chaining.passages(np.tile(line, 30), np.tile(line, 40))[0][1] >= 170
+
+
+def test_passages_of_odd_ids(spark):
+    rng = random.Random(9)
+    one, two = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(2))
+    df = spark.createDataFrame([("x", one), ("y", one), (None, one), ("x", one + " more"), ("z", two), (None, two), ("z", two), ("w", one[:100])], "doc_id string, text string")
+    got = {(r.doc_id, r.class_id, r.partner_id) for r in chaining.shared_passages(df).collect()}
+    assert got == {("x", "x", "y"), ("y", "x", "x"), (None, "x", "x"), (None, "z", "z")}
 
 
 def test_chain_and_alignment():
