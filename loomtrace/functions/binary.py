@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,11 +56,29 @@ def crc32c(data: bytes) -> int:
     return crc ^ 0xFFFFFFFF
 
 
+def crc32c_all(data: list[bytes]) -> np.ndarray:
+    """CRC-32C of many byte strings: a step of the table for all of them at once, the longest first."""
+    sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+    order = np.argsort(-sizes, kind="stable")
+    joined = np.frombuffer(b"".join(data), dtype=np.uint8)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    table, crc = np.array(crc32c_table(), dtype=np.uint32), np.full(len(data), 0xFFFFFFFF, dtype=np.uint32)
+    left = np.searchsorted(-sizes[order], -np.arange(1, (sizes.max() if len(data) else 0) + 1), side="right")
+    for at, n in enumerate(left.tolist()):
+        crc[:n] = crc[:n] >> np.uint32(8) ^ table[(crc[:n] ^ joined[starts[:n] + at]) & np.uint32(0xFF)]
+    out = np.empty(len(data), dtype=np.int64)
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
 def crc32c_of(data: Column | str) -> Column:
     """CRC-32C of a binary column."""
 
     def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: None if x is None else crc32c(bytes(x))).astype("Int64")
+        known = data.notna()
+        out = pd.Series(pd.NA, index=data.index, dtype="Int64")
+        out[known] = crc32c_all([bytes(x) for x in data[known]])
+        return out
 
     return F.pandas_udf(run, T.LongType())(data)
 

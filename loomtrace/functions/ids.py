@@ -10,9 +10,9 @@ LETTERS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
 def base32(value: Column, letters: int) -> Column:
-    """The lowest 5 bits times `letters` of a long."""
-    digits = F.sequence(F.lit(letters - 1), F.lit(0))
-    return F.array_join(F.transform(digits, lambda i: F.substring(F.lit(LETTERS), (F.call_function("shiftright", value, i * 5).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))), "")
+    """The lowest 5 bits times `letters` of a long, as plain concatenated letters that code generation handles."""
+    letter = lambda i: F.substring(F.lit(LETTERS), (F.shiftright(value, 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    return F.concat(*(letter(i) for i in reversed(range(letters))))
 
 
 def deterministic_id(prefix: str, seed: Column, timestamp_ms: Column) -> Column:
@@ -35,3 +35,15 @@ def _letter_value(body: Column, i: Column) -> Column:
 
 def is_domain_id(value: Column, prefix: str | None = None) -> Column:
     return value.rlike(rf"^{prefix or '[a-z][a-z0-9]*'}_[0-9A-HJKMNP-TV-Z]{{26}}$")
+
+
+def new_id(prefix: str) -> Column:
+    """A new id for the present time; another one for each row and each run."""
+    half = lambda: F.conv(F.substring(F.md5(F.expr("uuid()")), 1, 10), 16, 10).cast("long")
+    return F.concat(F.lit(f"{prefix}_"), base32(F.unix_millis(F.current_timestamp()), 10), base32(half(), 8), base32(half(), 8))
+
+
+def id_parts_error(timestamp_ms: Column, entropy: Column) -> Column:
+    """What keeps a time and random bytes from making an id: a time beyond 48 bits, or other than ten bytes; null for none."""
+    in_range = F.coalesce((timestamp_ms >= 0) & (timestamp_ms < F.lit(1 << 48)), F.lit(False))
+    return F.when(~in_range, "timestamp").when(~F.coalesce(F.octet_length(entropy) == 10, F.lit(False)), "entropy")

@@ -17,10 +17,11 @@ def overlapping(left: DataFrame, right: DataFrame, start: str = "start", end: st
     """
     r = right.select(F.col(start).alias("__s"), F.col(end).alias("__e"))
     touch = (F.col(start) < F.col("__e")) & (F.col(end) > F.col("__s"))
+    # An empty range still lies inside another one, so both ways keep it: its cell is that of its start.
     if r.limit(SMALL + 1).count() <= SMALL:
         return left.join(F.broadcast(r), touch, "left_semi")
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(a, b - 1) / width)))
     numbered = left.withColumn("__row", F.monotonically_increasing_id())
-    l_cells = numbered.where(F.col(end) > F.col(start)).withColumn("__cell", cells(F.col(start), F.col(end)))
-    r_cells = r.where("__e > __s").withColumn("__cell", cells(F.col("__s"), F.col("__e")))
+    l_cells = numbered.where(F.col(end) >= F.col(start)).withColumn("__cell", cells(F.col(start), F.col(end)))
+    r_cells = r.where("__e >= __s").withColumn("__cell", cells(F.col("__s"), F.col("__e")))
     return l_cells.join(r_cells, (l_cells["__cell"] == r_cells["__cell"]) & touch, "left_semi").dropDuplicates(["__row"]).select(*left.columns)

@@ -50,9 +50,9 @@ def orphans(refs: DataFrame, ref: str, targets: dict[str, DataFrame]) -> DataFra
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Each left row with the last right value at or before its time: one union, one window, no range join."""
+    """Each left row with the last right value at or before its time, of equal times the greatest value: one union, one window, no range join."""
     both = left.select(key, time, F.lit(None).cast(right.schema[value].dataType).alias(value), F.struct(*left.columns).alias("row"), F.lit(1).alias("side")).unionByName(
         right.select(key, time, value, F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("row"), F.lit(0).alias("side"))
     )
-    w = Window.partitionBy(key).orderBy(time, "side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy(time, "side", value).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("side = 1").select("row.*", value)

@@ -1,7 +1,7 @@
 """Gateway frames: encoding, decoding, and reassembly from a stream of chunks.
 
 A frame is a 36-byte little-endian header and a payload. A session whose bytes are wrong stays poisoned:
-the bytes are kept and later chunks fail too, until a new session starts.
+later chunks fail with the same error, until a new session starts. The error is kept, not the bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ from loomtrace.functions.binary import crc32c
 
 #: Fixed values of the wire format.
 MAGIC, HEADER, MOST_PAYLOAD, TYPES = b"\x56\x48\x4f\x53", 36, 1 << 20, range(1, 11)
-FRAME = "session_id string, message_type int, flags int, sequence decimal(20,0), monotonic_us decimal(20,0), payload binary, error string"
+HANDSHAKE, HEALTH, OTA_STATUS, EXPERIMENT_RESULT = 1, 4, 8, 10
+#: Characteristics of the gateway by what they carry; only these two bring frames.
+FRAME_CHANNELS = ("stream", "health")
+FRAME = "session_id string, arrival_idx long, frame_no int, message_type int, flags int, sequence decimal(20,0), monotonic_us decimal(20,0), payload binary, error string"
 
 
 def encode_frame(message_type: int, sequence: int, monotonic_us: int, payload: bytes, flags: int = 0) -> bytes:
@@ -46,40 +49,115 @@ def take_frames(buffer: bytes) -> tuple[list[tuple], bytes, str | None]:
     return frames, buffer[at:], None
 
 
-def frame_rows(session: str, frames: list[tuple], error: str | None) -> pd.DataFrame:
+def frame_rows(session: str, arrival: int, frames: list[tuple], error: str | None) -> pd.DataFrame:
+    """Frames of one chunk, numbered, then its error."""
     from decimal import Decimal
 
-    rows = [(session, k, f, Decimal(s), Decimal(u), p, None) for k, f, s, u, p in frames] + ([(session, None, None, None, None, None, error)] if error else [])
-    return pd.DataFrame(rows, columns=["session_id", "message_type", "flags", "sequence", "monotonic_us", "payload", "error"])
+    rows = [(session, arrival, i, k, f, Decimal(s), Decimal(u), p, None) for i, (k, f, s, u, p) in enumerate(frames)]
+    if error:
+        rows.append((session, arrival, len(rows), None, None, None, None, None, error))
+    return pd.DataFrame(rows, columns=["session_id", "arrival_idx", "frame_no", "message_type", "flags", "sequence", "monotonic_us", "payload", "error"])
+
+
+def feed(session: str, chunks: pd.DataFrame, buffer: bytes, failed: str | None) -> tuple[list[pd.DataFrame], bytes, str | None]:
+    """Rows of a session's chunks in order of arrival, the bytes left and the error that poisoned it."""
+    out = []
+    for arrival, chunk in zip(*(chunks[c] for c in ("arrival_idx", "chunk")), strict=True):
+        frames: list[tuple] = []
+        if not failed:
+            frames, buffer, failed = take_frames(buffer + bytes(chunk))
+            buffer = b"" if failed else buffer
+        out.append(frame_rows(session, arrival, frames, failed))
+    return out, buffer, failed
 
 
 def _reassemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    buffer = state.get[0] if state.exists else b""
-    for chunk in pd.concat(list(batches)).sort_values("arrival_idx")["chunk"]:
-        frames, buffer, error = take_frames(bytes(buffer) + bytes(chunk))
-        yield frame_rows(key[0], frames, error)
-    state.update((buffer,))
+    buffer, failed = state.get if state.exists else (b"", None)
+    rows, buffer, failed = feed(key[0], pd.concat(list(batches)).sort_values("arrival_idx"), bytes(buffer), failed)
+    yield from rows
+    state.update((buffer, failed))
 
 
 def reassemble(chunks: DataFrame) -> DataFrame:
     """Frames of a stream of (session_id, arrival_idx, chunk), and a row with `error` for each chunk that fails.
 
-    State is what is left of a session's bytes, less than one frame unless it is poisoned.
+    State is what is left of a session's bytes, less than one frame, or the error of a poisoned one. A
+    trigger's chunks of one session are gathered to be put in order; the trigger's size bounds them.
     """
-    return chunks.groupBy("session_id").applyInPandasWithState(_reassemble, FRAME, "buffer binary", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("session_id").applyInPandasWithState(_reassemble, FRAME, "buffer binary, failed string", "append", GroupStateTimeout.NoTimeout)
 
 
 def reassemble_batch(chunks: DataFrame) -> DataFrame:
-    """The same for a table: a session's chunks in order of arrival."""
+    """The same for a table: chunks sorted by session and arrival stream through the tasks, a session in one of them, never gathered."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, buffer, failed = None, b"", None
+        for b in batches:
+            for name, rows in b.groupby("session_id", sort=False):
+                if name != session:
+                    session, buffer, failed = name, b"", None
+                out, buffer, failed = feed(name, rows, buffer, failed)
+                yield from out
+
+    spread = chunks.select("session_id", "arrival_idx", "chunk").where("session_id IS NOT NULL")
+    return spread.repartition("session_id").sortWithinPartitions("session_id", "arrival_idx").mapInPandas(run, FRAME)
+
+
+def of_channels(notifications: DataFrame, channels: tuple[str, ...] = FRAME_CHANNELS) -> DataFrame:
+    """Notifications of the channels that carry frames."""
+    return notifications.where(F.col("channel").isin(*channels))
+
+
+def since_start(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows that arrived since their session began; sessions has session_id and start_idx."""
+    return rows.join(sessions, "session_id").where(F.col("arrival_idx") >= F.col("start_idx")).drop("start_idx")
+
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        buffer, out = b"", []
-        for chunk in rows.sort_values("arrival_idx")["chunk"]:
-            frames, buffer, error = take_frames(buffer + bytes(chunk))
-            out.append(frame_rows(key[0], frames, error))
-        return pd.concat(out)
+def latest_messages(frames: DataFrame) -> DataFrame:
+    """Per session the last handshake and health payload, the number of experiment results, and when the last update status came; other message types are passed over.
+
+    A plain aggregation, so on a stream it runs in update mode with one row of state a session.
+    """
+    at = F.struct("arrival_idx", "frame_no")
+    last = lambda kind, name: F.max_by(F.when(F.col("message_type") == kind, F.col("payload").cast("string")), F.when(F.col("message_type") == kind, at)).alias(name)
+    known = frames.where(F.col("message_type").isin(HANDSHAKE, HEALTH, OTA_STATUS, EXPERIMENT_RESULT))
+    return known.groupBy("session_id").agg(
+        last(HANDSHAKE, "handshake"),
+        last(HEALTH, "health"),
+        F.count(F.when(F.col("message_type") == EXPERIMENT_RESULT, 1)).alias("results"),
+        F.max(F.when(F.col("message_type") == OTA_STATUS, F.col("arrival_idx"))).alias("ota_status_idx"),
+    )
+
+
+def experiment_results(frames: DataFrame) -> DataFrame:
+    """Experiment results as they arrive, for append mode."""
+    return frames.where(F.col("message_type") == EXPERIMENT_RESULT).select("session_id", "arrival_idx", "frame_no", F.col("payload").cast("string").alias("result"))
+
+
+ACCOUNT = "session_id string, frames long, errors long, discontinuities long, missing decimal(20,0), last_sequence decimal(20,0)"
+
+
+def _account(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    from decimal import Decimal
 
-    return chunks.groupBy("session_id").applyInPandas(run, FRAME)
+    frames, errors, gaps, missing, last = state.get if state.exists else (0, 0, 0, Decimal(0), None)
+    rows = pd.concat(list(batches)).sort_values(["arrival_idx", "frame_no"])
+    for sequence, error in zip(rows["sequence"], rows["error"], strict=True):
+        if error is not None:
+            errors += 1
+            continue
+        frames += 1
+        if last is not None and sequence != last + 1:
+            gaps += 1
+            missing += max(Decimal(0), sequence - last - 1)
+        last = sequence
+    state.update((frames, errors, gaps, missing, last))
+    yield pd.DataFrame([(key[0], frames, errors, gaps, missing, last)], columns=["session_id", "frames", "errors", "discontinuities", "missing", "last_sequence"])
+
+
+def gap_account(frames: DataFrame) -> DataFrame:
+    """Per session of a stream of frames: how many, errors, discontinuities and missing sequence numbers, in update mode; never reordered."""
+    return frames.groupBy("session_id").applyInPandasWithState(_account, ACCOUNT, "frames long, errors long, discontinuities long, missing decimal(20,0), last decimal(20,0)", "update", GroupStateTimeout.NoTimeout)
 
 
 def chunked(frames: DataFrame, data: str, mtu: int) -> DataFrame:

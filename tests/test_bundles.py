@@ -37,7 +37,7 @@ def test_golden_bytes(bundle):
 
 def test_round_trip_and_replay(spark, bundle):
     manifest, rows = bundles.load_bundle(spark, bundle[0])
-    out = replay.replay(rows.drop("segment_no", "segment", "line_no")).first()
+    out = replay.replay(rows.drop("segment_no", "segment", "line_no", "position")).first()
     assert (out.observations, out.signal_samples) == (17, 68)
     assert out.signal_ids == ["sim.electrical.system-voltage", "sim.engine.coolant-temp", "sim.engine.rpm", "sim.vehicle.speed"]
     assert out.semantic_digest == SAMPLES
@@ -63,11 +63,11 @@ def tampered(bundle, tmp_path, change, rehash=True):
 @pytest.mark.parametrize(
     ("change", "message"),
     [
-        (lambda x: x[0]["payload"].update(data="00" * 8), "payload SHA-256 mismatch"),
-        (lambda x: x[5].update(sequence=42), "Non-contiguous observation sequence: 4 -> 42"),
-        (lambda x: x[5].update(observed_at_monotonic_us=x[4]["observed_at_monotonic_us"]), "Non-increasing monotonic timestamp"),
+        (lambda x: x[0]["payload"].update(data="00" * 8), "payload_hash"),
+        (lambda x: x[5].update(sequence=42), "sequence 42 comes after 4"),
+        (lambda x: x[5].update(observed_at_monotonic_us=x[4]["observed_at_monotonic_us"]), "time: "),
         (lambda x: x[3].update(quality="FINE"), "line 4"),
-        (lambda x: x[2]["source"].update(channel="powertrain"), "simulator_namespace"),
+        (lambda x: x[2]["source"].update(channel="powertrain"), "source.channel: pattern"),
     ],
 )
 def test_faults(spark, bundle, tmp_path, change, message):
@@ -77,10 +77,10 @@ def test_faults(spark, bundle, tmp_path, change, message):
 
 def test_extra_byte_missing_and_escape(spark, bundle, tmp_path):
     folder = tampered(bundle, tmp_path, lambda x: x[0].update(quality="STALE"), rehash=False)
-    with pytest.raises(bundles.BundleError, match="byte count mismatch"):
+    with pytest.raises(bundles.BundleError, match="segment_bytes"):
         bundles.load_bundle(spark, folder)
     manifest = json.loads(open(f"{folder}/manifest.json").read())
-    for path, message in (("../x.ndjson", "escapes"), ("none.ndjson", "missing")):
+    for path, message in (("../x.ndjson", "manifest"), ("none.ndjson", "segment_missing"), ("a/../../x.ndjson", "segment_outside")):
         manifest["segments"][0]["path"] = path
         open(f"{folder}/manifest.json", "w").write(json.dumps(manifest))
         with pytest.raises(bundles.BundleError, match=message):
@@ -91,9 +91,9 @@ def test_unsafe_replace(spark, bundle, tmp_path):
     other = tmp_path / "other"
     other.mkdir()
     (other / "keep.txt").write_text("x")
-    with pytest.raises(bundles.BundleError, match="already exists"):
+    with pytest.raises(bundles.BundleError, match="is there already"):
         bundles.write_bundle(scenario.cold_start(spark), str(other))
-    with pytest.raises(bundles.BundleError, match="Refusing to replace"):
+    with pytest.raises(bundles.BundleError, match="not_replaceable"):
         bundles.write_bundle(scenario.cold_start(spark), str(other), replace=True)
     assert (other / "keep.txt").read_text() == "x"
 
@@ -101,3 +101,49 @@ def test_unsafe_replace(spark, bundle, tmp_path):
 def test_canonical_order(spark):
     row = spark.sql("SELECT 1 AS b, named_struct('z', 1, 'a', 'x') AS a, CAST(NULL AS INT) AS c")
     assert row.select(canonical_json(row).alias("j")).first().j == '{"a":{"a":"x","z":1},"b":1}'
+
+
+def test_two_segments_of_one_name_and_odd_line_ends(spark, bundle, tmp_path):
+    folder = tmp_path / "two"
+    lines = open(f"{bundle[0]}/observations.ndjson").read().splitlines()
+    manifest, first = bundle[1] | {"segments": []}, bundle[1]["segments"][0]
+    for name, some, end in (("a", lines[:9], "\r\n"), ("b", lines[9:], "\n")):
+        (folder / name).mkdir(parents=True)
+        data = end.join(some).encode()  # no end after the last line
+        (folder / name / "observations.ndjson").write_bytes(data)
+        manifest["segments"].append(first | {"path": f"{name}/observations.ndjson", "sha256": hashlib.sha256(data).hexdigest(), "byte_count": len(data), "record_count": len(some)})
+    (folder / "manifest.json").write_text(json.dumps(manifest))
+    assert bundles.load_bundle(spark, str(folder))[1].count() == 17
+    data += b"\n\n"
+    (folder / "b" / "observations.ndjson").write_bytes(data)
+    manifest["segments"][1] |= {"sha256": hashlib.sha256(data).hexdigest(), "byte_count": len(data)}
+    (folder / "manifest.json").write_text(json.dumps(manifest))
+    with pytest.raises(bundles.BundleError, match="segment_lines"):
+        bundles.load_bundle(spark, str(folder))
+    for text, n in ((b"", 0), (b"\n", 1), (b"a\rb\r\n\n", 3), (b"a", 1)):
+        assert spark.createDataFrame([(text,)], "c binary").select(F.size(bundles.lines_of(F.col("c")))).first()[0] == n
+
+
+def test_manifest_contract_and_segments(spark, bundle, tmp_path):
+    folder = str(tmp_path / "parts")
+    about = {"profile": {"kind": "VEHICLE"}, "source": {"kind": "GATEWAY", "source_id": "gw", "source_version": "1.0.0", "hardware_revision": "a", "firmware_build_id": "b", "config_id": "c", "listen_only": True}}
+    manifest = bundles.write_bundle(scenario.cold_start(spark), folder, about=about, segment_rows=6)
+    assert len(manifest["segments"]) == 3 and sum(s["record_count"] for s in manifest["segments"]) == 17
+    assert bundles.bundle_summary(spark, folder).first().observations == 17
+    del manifest["source"]["config_id"]
+    manifest["extra"] = 1
+    open(f"{folder}/manifest.json", "w").write(json.dumps(manifest))
+    import os
+
+    if os.path.exists(f"{folder}/.manifest.json.crc"):
+        os.remove(f"{folder}/.manifest.json.crc")
+    with pytest.raises(bundles.BundleError, match="<root>: additionalProperties; source: required:config_id"):
+        bundles.load_bundle(spark, folder)
+
+
+def test_replay_file(spark, tmp_path):
+    samples = replay.decode(scenario.cold_start(spark))
+    bundles.write_replay(samples, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 68
+    with pytest.raises(bundles.BundleError, match="exists"):
+        bundles.write_replay(samples, str(tmp_path / "out"))

@@ -87,3 +87,39 @@ def test_ranges(spark):
 def test_state(spark):
     assert [r[0] for r in spark.createDataFrame([(None,), ("PASSIVE_LOCK",), ("READ_CONFIRMED",), ("NO_LOCK",)], "o string").select(state.outcome_state(F.col("o"))).collect()] == ["NOT_TESTED", "NETWORK_DETECTED", "OBD_CONFIRMED", "NO_LOCK"]
     assert [r[0] for r in spark.createDataFrame([(None,), (-95,), (-85,), (-50,)], "r int").select(state.signal_bucket(F.col("r"))).collect()] == ["WAIT", "BLOCKED", "CHECK", "PASS"]
+
+
+def test_stream_accounts_and_latest_messages(spark, tmp_path):
+    gap = b"".join(frames.encode_frame(k, n, n, p) for k, n, p in ((1, 5, b"hello"), (4, 6, b"h1"), (2, 9, b"can"), (4, 8, b"h2"), (10, 9, b"r"), (8, 10, b"boot")))
+    rows = [("g", 0, gap[:70]), ("g", 1, gap[70:]), ("p", 0, b"nonsense" * 8), ("p", 1, gap)]
+    for i in range(2):
+        spark.createDataFrame([r for r in rows if r[1] == i], "session_id string, arrival_idx long, chunk binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = frames.reassemble_batch(spark.read.parquet(str(tmp_path / "in")))
+    batch.coalesce(1).write.parquet(str(tmp_path / "frames"))
+    stream = lambda: spark.readStream.schema(batch.schema).parquet(str(tmp_path / "frames"))
+    for name, df in (("account", frames.gap_account(stream())), ("latest", frames.latest_messages(stream()))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {r.session_id: (r.frames, r.errors, r.discontinuities, int(r.missing)) for r in spark.table("account").collect()}
+    assert got == {"g": (6, 0, 2, 2), "p": (0, 2, 0, 0)}
+    assert [(r.handshake, r.health, r.results, r.ota_status_idx) for r in spark.table("latest").collect()] == [("hello", "h2", 1, 1)]
+    assert [r.result for r in frames.experiment_results(batch).collect()] == ["r"]
+    started = spark.createDataFrame([("g", 1)], "session_id string, start_idx long")
+    assert frames.since_start(batch, started).where("arrival_idx = 0").count() == 0
+
+
+def test_ranges_large_side_keeps_empty_ranges(spark, monkeypatch):
+    left = spark.createDataFrame([(5, 5), (3, 3), (8, 8), (70_000, 70_000), (1, 200_000)], "start long, end long")
+    right = spark.createDataFrame([(3, 8), (65_536, 80_000), (4, 4)], "start long, end long")
+    small = sorted(map(tuple, ranges.overlapping(left, right).collect()))
+    monkeypatch.setattr(ranges, "SMALL", 0)
+    assert sorted(map(tuple, ranges.overlapping(left, right).collect())) == small == [(1, 200_000), (5, 5), (70_000, 70_000)]
+
+
+def test_crc32c_of_many():
+    import random
+
+    rng = random.Random(1)
+    data = [rng.randbytes(rng.randrange(60)) for _ in range(200)] + [b"", b"123456789"]
+    assert binary.crc32c_all(data).tolist() == [binary.crc32c(x) for x in data]
+    assert binary.crc32c_all([]).tolist() == []
