@@ -90,16 +90,16 @@ def version_parts(version: Column) -> Column:
 
 
 def compare_versions(a: Column, b: Column) -> Column:
-    """-1, 0 or 1; missing parts count 0."""
+    """-1, 0 or 1; missing parts count 0; null if one of them is null."""
     pa, pb = version_parts(a), version_parts(b)
     signs = F.zip_with(pa, pb, lambda x, y: F.signum(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))).cast("int"))
-    return F.coalesce(F.get(F.filter(signs, lambda s: s != 0), F.lit(0)), F.lit(0))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.get(F.filter(signs, lambda s: s != 0), F.lit(0)), F.lit(0)))
 
 
 def byte_text(n: Column) -> Column:
     """A number of bytes for people: B, KiB or MiB with one decimal."""
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KiB", n / 1024)).otherwise(F.format_string("%.1f MiB", n / (1 << 20)))
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KiB", n / 1024)).when(n.isNotNull(), F.format_string("%.1f MiB", n / (1 << 20)))
 
 
 def millivolt_text(mv: Column) -> Column:
-    return F.format_string("%.2f V", mv / 1000.0)
+    return F.when(mv.isNotNull(), F.format_string("%.2f V", mv / 1000.0))

@@ -12,15 +12,24 @@ from pyspark.sql import functions as F
 from loomtrace.functions.binary import be_unsigned, le_unsigned
 
 
+def exactly(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
+def quotient(a: Column, n: int) -> Column:
+    """a over n without the rest; a plain division would round to a few decimals first."""
+    return ((a - a % exactly(n)) / exactly(n)).cast("decimal(38,0)")
+
+
 def float_of(bits: Column, size: int) -> Column:
     """The IEEE 754 number of 4 or 8 bytes given as an unsigned integer; null for infinities and no-numbers.
 
     Worked out from sign, exponent and fraction, so that it stays a column expression. The sign of zero is lost.
     """
     exponent_bits, fraction_bits = (8, 23) if size == 4 else (11, 52)
-    bits = bits.cast("decimal(20,0)")
-    top = F.floor(bits / F.lit(1 << fraction_bits).cast("decimal(20,0)")).cast("long")
-    fraction = (bits - top.cast("decimal(20,0)") * F.lit(1 << fraction_bits).cast("decimal(20,0)")).cast("double") / float(1 << fraction_bits)
+    bits = bits.cast("decimal(38,0)")
+    top = quotient(bits, 1 << fraction_bits).cast("long")
+    fraction = (bits - top.cast("decimal(38,0)") * exactly(1 << fraction_bits)).cast("double") / float(1 << fraction_bits)
     exponent = top.bitwiseAND(F.lit((1 << exponent_bits) - 1))
     bias = (1 << (exponent_bits - 1)) - 1
     size_of = F.when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(float(1 - bias)))).otherwise((1 + fraction) * F.pow(F.lit(2.0), (exponent - bias).cast("double")))
@@ -34,7 +43,7 @@ def raw_value(payload: Column, layout: dict) -> Column:
     for bit fields bit_offset and bit_length.
     """
     at, size = layout["byte_offset"], layout["byte_length"]
-    whole = (be_unsigned if layout["endianness"] == "BIG" else le_unsigned)(payload, at, size).cast("decimal(20,0)")
+    whole = (be_unsigned if layout["endianness"] == "BIG" else le_unsigned)(payload, at, size).cast("decimal(38,0)")
     match layout["encoding"]:
         case "IEEE754":
             if size not in (4, 8):
@@ -44,14 +53,13 @@ def raw_value(payload: Column, layout: dict) -> Column:
             first, bits = layout["bit_offset"], layout["bit_length"]
             if first + bits > 8 * size:
                 raise ValueError("bit field beyond its bytes")
-            value = F.floor(whole / F.lit(1 << first).cast("decimal(20,0)")).cast("decimal(20,0)") % F.lit(1 << bits).cast("decimal(20,0)")
+            value = quotient(whole, 1 << first) % exactly(1 << bits)
         case "INTEGER":
             value, bits = whole, 8 * size
         case other:
             raise ValueError(f"unknown encoding: {other}")
     if bits and layout["signed"]:
-        value = value.cast("decimal(38,0)")
-        value = F.when(value >= F.lit(1 << (bits - 1)).cast("decimal(38,0)"), value - F.lit(1 << bits).cast("decimal(38,0)")).otherwise(value)
+        value = F.when(value >= exactly(1 << (bits - 1)), value - exactly(1 << bits)).otherwise(value)
     return F.when(F.octet_length(payload) >= at + size, value.cast("double"))
 
 

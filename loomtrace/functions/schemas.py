@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Fixed values of the contracts: fields and their types.
 RAW_OBSERVATION = (
     "contract string, contract_version string, observation_id string, vehicle_id string, capture_id string, sequence long, "
     "observed_at_monotonic_us long, wall_time string, "

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.functions.canonical import canonical_json
+from loomtrace.sources.scratch import saved
 
 # What an agent that reads evidence may do.
 AUTHORITY = {"may_activate_vehicle_experiment": False, "may_emit_raw_vehicle_frames": False, "may_interpret_evidence": True, "may_propose_signed_experiment_plans": True, "may_rank_hypotheses": True}
@@ -16,7 +17,7 @@ def unknown_equations(runs: DataFrame, equations: DataFrame) -> DataFrame:
     return runs.join(equations.select("equation_id", "version").distinct(), ["equation_id", "version"], "left_anti")
 
 
-def recalculation_roots(runs: DataFrame, id_col: str = "calculation_id", parent_col: str = "recalculation_of", rounds: int = 40) -> DataFrame:
+def recalculation_roots(runs: DataFrame, id_col: str = "calculation_id", parent_col: str = "recalculation_of") -> DataFrame:
     """(id, root, depth): the run that each chain of recalculations goes back to, and how many steps.
 
     Pointers double each round, so a chain of n runs takes log n joins. A run whose parent is unknown is a
@@ -25,11 +26,14 @@ def recalculation_roots(runs: DataFrame, id_col: str = "calculation_id", parent_
     ids = runs.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
     known = ids.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     at = ids.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("up")).withColumns({"root": F.coalesce("up", "id"), "depth": F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"), "done": F.col("up").isNull()}).drop("up")
-    for _ in range(rounds):
-        if at.where("NOT done").isEmpty():
+    at, left = saved(at, "lineage"), -1
+    while True:
+        open_runs = at.where("NOT done").count()
+        if not open_runs or open_runs == left:  # only cycles are left
             break
+        left = open_runs
         nxt = at.select(F.col("id").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("done").alias("up_done"))
-        at = at.join(nxt, "root").select("id", F.col("up").alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("depth"), (F.col("done") | F.col("up_done")).alias("done"))
+        at = saved(at.join(nxt, "root").select("id", F.col("up").alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("depth"), (F.col("done") | F.col("up_done")).alias("done")), "lineage")
     return at.select("id", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 

@@ -13,7 +13,7 @@ from loomtrace.functions.ids import deterministic_id, id_timestamp_ms
 
 
 def powertrain_signals(payload: Column) -> list[tuple[str, Column, str]]:
-    """(signal, value, unit) of the eight-byte state, in order of output."""
+    """(signal, value, unit) of the eight-byte state, in order of output. Fixed values of the decoder: names, units and factors."""
     return [
         ("sim.engine.rpm", be_unsigned(payload, 0, 2) / 4.0, "rpm"),
         ("sim.vehicle.speed", be_unsigned(payload, 2, 2) / 10.0, "km/h"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions.ids import is_domain_id
 from loomtrace.functions.schemas import QUALITY, SOURCE_KINDS
 
+# Fixed values of the contract of raw observations: patterns and limits, here and in raw_observation_rules.
 SEMVER = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?$"
 SHA256, HEX = "^[0-9a-f]{64}$", "^(?:[0-9a-f]{2})*$"
 

@@ -84,8 +84,7 @@ l AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY
 SELECT u.user_id, t.event_type, coalesce(CAST(l.event_id AS VARCHAR), 'NOT_TESTED') AS state FROM u CROSS JOIN t LEFT JOIN l ON l.user_id = u.user_id AND l.event_type = t.event_type""")
 def latest_state(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    types = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(64).collect()]  # a fixed list of kinds, like a list of protocols
-    grid = events.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, types))))
+    grid = events.select("user_id").distinct().join(events.select("event_type").distinct(), how="cross")  # a row for each session and kind, which is the result's size
     latest = state.latest_by(events, ["user_id", "event_type"], ["event_id"], ["event_id"])
     return state.with_default(grid, latest.select("user_id", "event_type", F.col("event_id").cast("string").alias("state")), ["user_id", "event_type"], "state", "NOT_TESTED")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomtrace.functions.binary import crc32c
+from loomtrace.functions.binary import crc32c, crc32c_all
 
 #: Fixed values of the wire format.
 MAGIC, HEADER, MOST_PAYLOAD, TYPES = b"\x56\x48\x4f\x53", 36, 1 << 20, range(1, 11)
@@ -29,6 +29,22 @@ def encode_frame(message_type: int, sequence: int, monotonic_us: int, payload: b
     return head + struct.pack("<I", crc32c(head)) + payload
 
 
+def encoded_frames(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows of (message_type, sequence, monotonic_us, payload) with `frame`, the bytes on the wire; checksums are worked out a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            payloads = [bytes(x) for x in b["payload"]]
+            crcs = crc32c_all(payloads).tolist()
+            heads = [struct.pack("<4sBBBBIQQI", MAGIC, 1, 0, k, 0, len(p), int(s), int(u), c) for k, s, u, p, c in zip(b["message_type"], b["sequence"], b["monotonic_us"], payloads, crcs, strict=True)]
+            ends = [struct.pack("<I", c) for c in crc32c_all(heads).tolist()]
+            yield b[list(keep)].assign(frame=[h + e + p for h, e, p in zip(heads, ends, payloads, strict=True)])
+
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    columns = list(dict.fromkeys([*keep, "message_type", "sequence", "monotonic_us", "payload"]))
+    return rows.select(*columns).mapInPandas(run, f"{kinds}frame binary")
+
+
 def take_frames(buffer: bytes) -> tuple[list[tuple], bytes, str | None]:
     """(frames, bytes left, error). As with one call of a decoder, an error loses the frames decoded before it."""
     frames, at = [], 0
