@@ -2,53 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.sources.scratch import dropped, saved, shared_dir  # noqa: F401  used by the operators from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/loomtrace-shared"
-
-
-#: With it Spark removes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage is cut and any executor can read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Remove saved tables that nothing reads any more."""
-    for t in tables:
-        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.saved_at)
-        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(text_col: str) -> Column:
     """The text as a string, null as empty."""
-    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(named(text_col).cast("string"), F.lit(""))

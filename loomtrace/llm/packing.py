@@ -33,7 +33,25 @@ REMEMBERED = 400_000
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: A full stop or comma between a letter or digit and white space is a word of its own for the tokenizer too.
-END = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
+#: Not after U+0130: its small letter ends in a combining dot, which the tokenizer joins with the stop.
+END = re.compile(r"(?<=[^\W_])(?<!\u0130)([.,])(?=\s|$)")
+#: The special strings. They are looked for as they stand, before any letter is made small.
+SPECIAL = re.compile(r"(<\|(?:startoftext|endoftext)\|>)")
+#: Marks that join with a letter before them; some join with small letters only, so such texts are left to the library.
+MARKS = re.compile("[\u0300-\u036f]")
+
+
+def small(text: str) -> str:
+    """The text with A-Z made small, where that leaves the tokenizer's ids as they are."""
+    if not text.isascii() and MARKS.search(text):
+        return text
+    if "<|" not in text:
+        return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    # What becomes a special string only by small letters is cut where the tokenizer cuts words anyhow.
+    parts = SPECIAL.split(text)
+    for i in range(0, len(parts), 2):
+        parts[i] = SPECIAL.sub(lambda m: f"<| {m.group(1)[2:-2]} |>", parts[i].encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    return "".join(parts)
 #: Below, all letters are in composed form or have no other.
 LATIN_END = "\u0250"
 
@@ -59,7 +77,7 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         words = []
         for t in texts:
-            t = END.sub(r" \1", t.encode().lower().decode())  # only A-Z: the rest is the library's to lower
+            t = END.sub(r" \1", small(t))
             words.append(SPACE.split(t) if SEPARATORS.search(t) else t.split())
         new = set().union(*words) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:

@@ -34,6 +34,17 @@ def test_against_library(libraries, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [libraries[1].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_of_many_texts(libraries):
+    """Capital dotted i, combining marks and special strings in both cases, before stops and between other signs."""
+    import random
+
+    rng = random.Random(17)
+    parts = ["\u0130", "NAS\u0130", "I\u0307", "J\u030c", "H\u0331", "T\u0308", "e\u0301", "\u0301", ".", ",", ". ", ", ", " ", "\n", "\x1c", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "Word", "the", "\u03a3", "It's", "7", "_", "\u00e9", "\u65e5", "!", "\u00df", "\u212a"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    ids = packing.word_ids(WORDS).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [e.ids for e in libraries[1].encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts_odd(spark, odd_docs, no_docs, libraries):
     out = token_count.token_counts(odd_docs, BYTES, over=1024).collect()
     want = [(r.doc_id, len((r.text or "").encode()), len(libraries[0].encode(r.text or "", add_special_tokens=False).ids)) for r in odd_docs.collect()]
