@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_of
+from .common import dropped, named, saved, table, text_of
 from .substring_hash import BLOCK, Hashes, anchors
 
 LENGTH, SAMPLED = 200, 50
@@ -79,6 +79,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, sampled: int = SAMPL
     positions = sample(texts, length, sampled)
     recurring = saved(positions.groupBy("here").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("here"), "recurring")
     some = saved(positions.join(recurring, "here", "left_semi"), "positions")
+    dropped(recurring)
     ranks = saved(some.groupBy("here", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "span")).alias("one")), "ranks")
     groups = saved(ranks.groupBy("here").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1 AND least = 1").select("here", "contexts"), "groups")
     several = saved(ranks.where("n > 1").select("here", "whole"), "several")
@@ -101,7 +102,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, sampled: int = SAMPL
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    cuts = texts.join(marks, "key", "inner").mapInPandas(cut, "here long, key long, first long, bytes binary, alone boolean, contexts long")
+    cuts = texts.dropDuplicates(["key"]).join(marks, "key", "inner").mapInPandas(cut, "here long, key long, first long, bytes binary, alone boolean, contexts long")
 
     def strings(b: pd.DataFrame) -> pd.DataFrame:
         """A row for each string of the contexts: here, its hash, key, start, alone."""
@@ -165,11 +166,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are UTF-8 bytes, null is empty; matches never cross texts. A byte goes if a string of `length`
     bytes that holds it also starts anywhere else, in the same text or another, both as given. Repeated
-    rows repeat each other, so they go whole if long enough; rows of one id with different texts lose the
-    union of their ranges; a null id is a document of its own text. Empty tables give an empty result.
+    rows repeat each other, so they go whole if long enough; each row counts for itself, whatever its id, which
+    may be null or of any type. Texts are known by 64-bit hashes. Empty tables give an empty result.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    texts = texts.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text").where("key IS NOT NULL")
+    texts = docs.select(named(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("key"), "text")
     spans = repeated_starts(texts.select("key", "text"), length, sampled)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
