@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_of
+from .common import fresh, named, saved, table, text_of
 
 DEPTH = 3
 #: Lines of fewer words stay unless the caller sets another least number. Of a template at least this share of words must be constant.
-LEAST_WORDS, CONSTANT = 3, 0.6
+LEAST_WORDS, CONSTANT = 1, 0.6
 WILD = "<*>"
 #: A word with a field that always varies, once words are separated by one space.
 FIELD = "[^ ]*(?:[0-9@]|://)[^ ]*"
@@ -44,7 +44,7 @@ def normal(lines: DataFrame) -> DataFrame:
 
 
 def split_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.split(text_of(text_col), "\n", -1).alias("lines")).where("doc_id IS NOT NULL")
+    return docs.select(named(id_col).alias("doc_id"), F.split(text_of(text_col), "\n", -1).alias("lines")).where("doc_id IS NOT NULL")
 
 
 def templates(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -85,14 +85,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     under one id are one document and lose the same lines; rows with a null id lose none and count for
     nothing; a null text stays null. With `dropped_col` the number of lines taken out is added there.
     """
-    gone = dropped_lines(docs, id_col, text_col, max(1, least_words)).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+    lines, key, numbers = (fresh(name, docs) for name in ("lines", "line_key", "line_numbers"))
+    gone = dropped_lines(docs, id_col, text_col, max(1, least_words)).select(F.col("doc_id").alias(key), F.col("dropped").alias(numbers))
     # Split below the join, so that the lines are a column of it and not worked out anew for each line.
-    split = docs.select(*(F.split(F.col(c).cast("string"), "\n", -1).alias("__lines") if c == text_col else F.col(c) for c in docs.columns))
-    joined = split.join(gone, split[id_col] == gone["__id"], "left_outer")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
-    left = F.when(F.col("__dropped").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("__lines"), i)))
-    columns = [F.array_join(left, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    extra = [F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long").alias(dropped_col)] if dropped_col else []
+    split = docs.select(*(F.split(named(c).cast("string"), "\n", -1).alias(lines) if c == text_col else named(c) for c in docs.columns))
+    joined = split.join(gone, named(id_col) == F.col(key), "left_outer")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
+    left = F.when(F.col(numbers).isNull(), F.col(lines)).otherwise(F.transform(stay, lambda i: F.get(F.col(lines), i)))
+    columns = [F.array_join(left, "\n").alias(c) if c == text_col else named(c) for c in docs.columns]
+    extra = [F.when(F.col(numbers).isNull(), 0).otherwise(F.size(numbers)).cast("long").alias(dropped_col)] if dropped_col else []
     return joined.select(*columns, *extra)
 
 
@@ -112,7 +113,7 @@ split AS (
   SELECT doc_id, pos, trim(regexp_replace(line, '[ \t\r\x0b\x0c]+', ' ', 'g')) AS line FROM numbered),
 wild AS (
   SELECT doc_id, pos, string_split(line, ' ') AS words, list_transform(string_split(line, ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '<*>' ELSE w END) AS wild
-  FROM split WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+  FROM split WHERE line <> ''),
 lines AS (
   SELECT doc_id, pos, CASE WHEN len(list_filter(wild, lambda w: w <> '<*>')) >= 0.6 * len(wild) THEN wild ELSE words END AS words FROM wild),
 leafed AS (

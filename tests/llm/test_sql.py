@@ -64,7 +64,10 @@ def test_line_dedup(spark, odd_docs, no_docs):
     )
     out = {r.doc_id: (r.text, r.n) for r in line_dedup.line_dedup(docs, dropped_col="n").collect()}
     assert out[1][1] == 0 and out[3][1] == 0 and out[None][1] == 0
-    assert out[2] == ("second text of its own there\n\nshort line", 2)
+    assert out[2] == ("second text of its own there\n", 3)  # lines of two words recur too
+    clash = docs.withColumnsRenamed({"doc_id": "a.id"}).selectExpr("*", "1 AS lines", "2 AS line_key", "3 AS line_numbers", "4 AS `x.y`", "5 AS __id", "6 AS __lines")
+    again = line_dedup.line_dedup(clash, id_col="a.id")
+    assert again.columns == clash.columns and {r["a.id"]: r.text for r in again.collect()} == {i: t for i, (t, _) in out.items()}
     odd = line_dedup.line_dedup(odd_docs)
     assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count() and odd.where("text IS NULL").count() == 2
     assert line_dedup.line_dedup(no_docs).count() == 0
