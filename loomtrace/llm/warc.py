@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, table, text_of
+from .common import named, saved, shared_dir, table, text_of
 
 PIECE = 1 << 16
 ARCHIVE_BYTES = 64 << 20
@@ -36,13 +36,13 @@ def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(head.encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def page_member(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
-    """A response, or for a payload that the record refers_to already holds, a revisit: the HTTP head alone."""
+def page_member(name: object, url: str, payload: bytes, refers_to: object | None) -> bytes:
+    """A response, or for a payload that the record refers_to already holds, a revisit: the HTTP head alone. Records are named urn:page:<name>."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{name}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", " ".join((url or "urn:page:none").split())),
         ("Content-Type", "application/http; msgtype=response"),
@@ -142,20 +142,22 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Write a record per row into archives in `folder` and return their list: path, n_records, n_bytes.
 
     Null html is an empty payload; null urls get a placeholder. Of rows with equal payloads of at least
-    `least_bytes` bytes the smallest page id is the response and the others revisit it; repeated rows of
-    one id are one response and revisits of it only if another id is smaller, so each stays a response.
-    Rows with a null page id can't be named by a record and are an error. An empty table gives no archive.
+    `least_bytes` bytes one of the smallest page id is the response and the others revisit it, further rows
+    of that id too. Rows with a null page id revisit a row with an id; without one each is a response. A
+    record is named by its row and page id (urn:page:<row>:<id>), so repeated ids have records of their
+    own. Other columns are ignored. An empty table gives no archive.
 
     Each task writes archives under names of its own, and only those of tasks that ended well are listed,
     so a task that is run again leaves at most files that nobody reads. The list is written once.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(text_col).alias("html"))
-    rows = rows.withColumn("page_id", F.when(F.col("page_id").isNull(), F.raise_error(F.lit("page id is null")).cast(kind)).otherwise(F.col("page_id")))
-    key = F.sha2("html", 256)
-    firsts = rows.where(F.octet_length("html") >= least_bytes).groupBy(key.alias("content")).agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("content", "first")
-    firsts = saved(firsts, "first-pages")
-    linked = rows.withColumn("content", key).join(firsts, "content", "left_outer").select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    rows = pages.select(named(id_col).alias("page_id"), named(url_col).cast("string").alias("url"), text_of(text_col).alias("html"))
+    # Written once, so that a row keeps its number.
+    rows = saved(rows.withColumns({"row": F.monotonically_increasing_id(), "content": F.sha2("html", 256)}), "pages")
+    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"))
+    firsts = saved(groups.where("n > 1 AND first IS NOT NULL").select("content", "first"), "first-pages")
+    name = lambda row, page: F.concat_ws(":", row.cast("string"), F.coalesce(page.cast("string"), F.lit("")))
+    refers_to = F.when(F.col("row") != F.col("first.row"), name(F.col("first.row"), F.col("first.page_id")))
+    linked = rows.join(firsts, "content", "left_outer").select(name(F.col("row"), F.col("page_id")).alias("name"), "url", "html", refers_to.alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -164,12 +166,12 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         store.create_dir(root, recursive=True)
         out, path, n, size = None, "", 0, 0
         for b in batches:
-            for page_id, url, html, first in zip(b["page_id"], b["url"], b["html"], b["refers_to"], strict=True):
+            for name, url, html, first in zip(b["name"], b["url"], b["html"], b["refers_to"], strict=True):
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     out, n = store.open_output_stream(path, compression=None), 0
                     size = out.write(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                size += out.write(page_member(page_id, url, html.encode("utf-8"), None if pd.isna(first) else int(first)))
+                size += out.write(page_member(name, url, html.encode("utf-8"), None if pd.isna(first) else first))
                 n += 1
                 if size >= ARCHIVE_BYTES:
                     out.close()
@@ -212,7 +214,7 @@ def read_warc(archives: DataFrame, folder: str, payloads: bool = False) -> DataF
 def op8_warc(spark, sf_dir):
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     records = read_warc(write_warc(table(spark, sf_dir, "pages"), folder), folder)
-    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:\d+:(-?\d*)$", 1), F.lit("")).cast("long")
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"))
 
 
