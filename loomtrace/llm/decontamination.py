@@ -27,6 +27,9 @@ from .common import table, text_of
 RUN, SIMILARITY = 3, 0.8
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Cells of an alignment matrix; beyond, the text is aligned in tiles.
+CELLS = 8_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -56,6 +59,16 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return matches, int(j), int(end)
 
 
+def align_in_tiles(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """The same with bounded memory: an alignment worth more than 0 spans less than three times a's words, so it lies whole in one of the tiles of six times as many."""
+    step = 3 * len(a)
+    if len(a) * len(b) <= CELLS or len(b) <= 2 * step:
+        return align(a, b)
+    found = [(m, -(at + start), at + end) for at in range(0, len(b) - step, step) for m, start, end in (align(a, b[at : at + 2 * step]),)]
+    m, start, end = max(found)
+    return m, -start, end
+
+
 @dataclass
 class Items:
     """A block of items: their words as numbers, and the runs of three as sorted keys.
@@ -163,7 +176,7 @@ class Items:
                 for s, e in dict.fromkeys([(some[0][0], max(e for _, e in some)), *some]):
                     b = numbers[s:e]
                     if self.held(one, b)[0] >= least:
-                        m, start, end = align(a, b)
+                        m, start, end = align_in_tiles(a, b)
                         best = max(best, (m, -(s + start), s + end))
                         if m >= least:
                             break
@@ -183,16 +196,20 @@ def spread(first: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def runs(numbers: np.ndarray) -> np.ndarray:
-    """A key for each run of three words, below 0 if one of them is in no item. Numbers are below 2^20."""
-    a, b, c = numbers[:-2], numbers[1:-1], numbers[2:]
-    return np.where((a | b | c) >= 0, a << 40 | b << 20 | c, -1) if len(numbers) >= RUN else np.zeros(0, dtype=np.int64)
+    """A key for each run of three words, below 0 if one of them is in no item. Keys are hashes: what they let meet is aligned."""
+    if len(numbers) < RUN:
+        return np.zeros(0, dtype=np.int64)
+    a, b, c = (numbers[i : len(numbers) - 2 + i].astype(np.uint64) for i in range(RUN))
+    h = ((a * ODD + b) * ODD + c) * ODD
+    h = (h ^ (h >> np.uint64(32))) * ODD
+    return np.where((numbers[:-2] | numbers[1:-1] | numbers[2:]) >= 0, (h >> np.uint64(1)).view(np.int64), -1)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
-    """The items in blocks of at most BLOCK_WORDS words, or of one item, fetched one partition at a time."""
+    """The items in blocks of at most BLOCK_WORDS words, as they are counted here, or of one item, fetched one partition at a time."""
     block, size = [], 0
     for r in benchmark.select(F.col(id_col).alias("item_id"), text_of(text_col).alias("text")).toLocalIterator():
-        n = 1 + len(r["text"].split())
+        n = 1 + len(words_of(r["text"]))
         if block and size + n > BLOCK_WORDS:
             yield block
             block, size = [], 0

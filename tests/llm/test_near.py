@@ -314,7 +314,9 @@ def test_warc(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     folder = f"file://{tmp_path}/w"
     got = {int(r.record_id.rsplit(":", 1)[1]): r for r in warc.read_warc(warc.write_warc(pages, folder), folder, payloads=True).collect()}
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 2: ("response", None), 3: ("revisit", "urn:page:1"), 5: ("revisit", "urn:page:2"), 7: ("response", None), 8: ("response", None)}
+    page = lambda name: name and int(name.rsplit(":", 1)[1])
+    assert {i: (r.record_type, page(r.refers_to)) for i, r in got.items()} == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 5: ("revisit", 2), 7: ("response", None), 8: ("response", None)}
+    assert {r.refers_to for r in got.values() if r.refers_to} <= {r.record_id for r in got.values()}
     for i, _, html in rows:
         data = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), warc.digest(data))
@@ -323,6 +325,36 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(pages, folder, least_bytes=1), folder).where("record_type = 'revisit'").count() == 1
 
 
+def test_warc_of_odd_ids(spark, tmp_path):
+    """Null and repeated ids, ties, clashing columns: each row is a record with a name of its own."""
+    rows = [(4, "same"), (4, "same"), (None, "same"), (4, "other"), (9, "same"), (None, "lone"), (None, "lone")]
+    pages = spark.createDataFrame([(i, f"u{n}", h, n, "x") for n, (i, h) in enumerate(rows)], "page_id long, url string, html string, row long, content string")
+    folder = f"file://{tmp_path}/w"
+    got = warc.read_warc(warc.write_warc(pages, folder), folder).collect()
+    page = lambda name: name and name.rsplit(":", 1)[1]
+    assert sorted((page(r.record_id), r.record_type, page(r.refers_to) or "") for r in got) == sorted([("4", "response", ""), ("4", "revisit", "4"), ("", "revisit", "4"), ("4", "response", ""), ("9", "revisit", "4"), ("", "response", ""), ("", "response", "")])
+    assert len({r.record_id for r in got}) == 7
+
+
+def test_tiles_of_an_alignment(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 30, 12), rng.integers(0, 30, 400)
+    b[333:343] = a[:10]
+    whole = decontamination.align(a, b)
+    monkeypatch.setattr(decontamination, "CELLS", 0)
+    assert decontamination.align_in_tiles(a, b) == whole and whole[0] >= 10
+
+
+def test_suffix_dedup_of_odd_ids(spark):
+    """String, null and repeated ids with other texts: each row is judged for itself."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two = text(500), text(320)
+    rows = [("a", one + text(50)), ("a", two[:100]), ("b", text(90) + one), (None, two), (None, text(30) + two), ("c", None), ("a", one + "x")]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id string, text string")).drop("kept").collect()
+    assert sorted(map(tuple, got), key=str) == removed([(i, t or "") for i, t in rows], 200)
+
+
 def test_broken_archives():
     import io
 
