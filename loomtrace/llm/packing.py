@@ -1,11 +1,15 @@
-"""Best-fit packing of documents into token sequences, in bulk-synchronous steps.
+"""Best-fit packing of documents into token sequences, in bulk-synchronous rounds.
 
 Documents are range-sorted by length, longest first, so that pieces of one length are a run of ranks and
-need no names in a match. A step takes the run of the longest length left and sweeps the gaps for the
-successor of that length, the smallest gap that holds it; ranks settle which piece gets which gap; the
-gaps are updated and the next step follows. Lengths and gaps lie between 1 and the sequence length, so
-the state that the sweep needs is a count for each length, whatever the number of documents; ranks and
-places are worked out by Spark for each piece.
+need no names in a match; gaps of one size are a run of sequences. A round sends each run of pieces to the
+successor of its length, the smallest gap size that holds it, range-partitions pieces and gaps by that size
+and sweeps each range in a task: longest pieces first, each to the smallest gap that holds it; ranks settle
+which pieces of a run get the gaps. Matched gaps are updated, what is left goes to the next round. Where no
+gap holds any piece that is left, as many sequences are opened as their tokens fill at least. Lengths go in
+bands, the longest first, so that short pieces don't take the gaps of longer ones.
+
+Lengths and gaps lie between 1 and the sequence length, so runs are few, whatever the number of documents;
+ranks and places are worked out by Spark for each piece.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from .common import saved, table, text_of
 from .token_count import byte_letters
 
 ROOM = 2048
+#: Ranges of gap sizes that a round sweeps at once; lengths of a band are at most BAND times as long as others in it.
+RANGES, BAND = 4, 8
 #: Words whose identifiers a worker remembers; beyond, it forgets them all and starts anew.
 REMEMBERED = 400_000
 #: White space as tokenizers see it; Python's own split() also cuts at the four separators U+001C to U+001F.
@@ -118,42 +124,83 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = 0, id_col
     return texts.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:
-    """Match runs of pieces to gaps: (length, first rank, number, first sequence, offset) for each match.
+def sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], room: int = ROOM) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Best fit of runs of pieces (length, first rank, number) into runs of gaps (size, first sequence, number), longest first.
 
-    counts: the number of pieces of each length. Piece rank + k of a match goes to sequence first + k.
+    Matches (length, first rank, number, first sequence, offset), pieces left and gaps left. Piece rank + k of
+    a match goes to sequence first + k.
     """
-    gaps: dict[int, deque[tuple[int, int]]] = {}  # gap: runs of sequences, (first, number)
-    sizes: list[int] = []  # gaps that exist, ascending
-    matches, opened = [], 0
+    free: dict[int, deque[tuple[int, int]]] = {}
+    sizes: list[int] = []  # of the gaps, ascending
 
     def put(gap: int, first: int, number: int) -> None:
         if gap:
-            if gap not in gaps:
+            if gap not in free:
                 bisect.insort(sizes, gap)
-                gaps[gap] = deque()
-            gaps[gap].append((first, number))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):  # no gap holds it: open as many sequences as these pieces fill
-                number = -(-left // (room // length))
-                put(room, opened, number)
-                opened += number
-                continue
+                free[gap] = deque()
+            free[gap].append((first, number))
+
+    for gap in gaps:
+        put(*gap)
+    matches, over = [], []
+    for length, rank, left in sorted(pieces, key=lambda p: (-p[0], p[1])):
+        while left and (at := bisect.bisect_left(sizes, length)) < len(sizes):
             gap = sizes[at]
-            first, number = gaps[gap].popleft()
-            if not gaps[gap]:
-                del gaps[gap], sizes[at]
+            first, number = free[gap].popleft()
+            if not free[gap]:
+                del free[gap], sizes[at]
             if number > left:
                 put(gap, first + left, number - left)
                 number = left
             matches.append((length, rank, number, first, room - gap))
             put(gap - length, first, number)
             rank, left = rank + number, left - number
-    return matches
+        if left:
+            over.append((length, rank, left))
+    return matches, over, [(gap, *run) for gap, some in free.items() for run in some]
+
+
+RUNS = "kind string, length long, rank long, number long, gap long, first long"
+
+
+def sweep_round(runs: DataFrame, low: int, room: int) -> DataFrame:
+    """One round over the runs of pieces longer than `low` and of gaps; pieces stand at their successor, `gap`. Matches are carried along."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = pd.concat([pd.DataFrame(columns=["kind"]), *batches])
+        if not len(t):
+            return
+        rows = lambda kind, *columns: list(t.loc[t["kind"] == kind, list(columns)].astype("int64").itertuples(index=False, name=None))
+        matches, over, gaps = sweep(rows("piece", "length", "rank", "number"), rows("gap", "gap", "first", "number"), room)
+        out = [("match", length, rank, n, room - offset, first) for length, rank, n, first, offset in matches]
+        out += [("piece", length, rank, n, length, 0) for length, rank, n in over] + [("gap", 0, 0, n, gap, first) for gap, first, n in gaps]
+        yield pd.DataFrame(out, columns=["kind", "length", "rank", "number", "gap", "first"])
+
+    now = (F.col("kind") == "gap") | ((F.col("kind") == "piece") & (F.col("length") > low))
+    swept = runs.where(now).repartitionByRange(RANGES, "gap").sortWithinPartitions("gap").mapInPandas(run, RUNS)
+    return saved(swept.unionByName(runs.where(~now)), "sweep")
+
+
+def swept(counts: DataFrame, room: int = ROOM) -> DataFrame:
+    """The matches of all pieces, of which counts has (length, number): RUNS, with the size of the gap that was taken in `gap`."""
+    spark, opened, low = counts.sparkSession, 0, room // BAND
+    runs = saved(counts.select(F.lit("piece").alias("kind"), "length", F.lit(0).cast("long").alias("rank"), "number", F.col("length").alias("gap"), F.lit(0).cast("long").alias("first")), "sweep")
+    while True:
+        # At most a row for each length and each size of a gap.
+        seen = runs.where("kind <> 'match'").groupBy("kind", F.when(F.col("kind") == "piece", F.col("length")).otherwise(F.col("gap")).alias("size")).agg(F.sum("number").alias("number")).collect()
+        left = {r["size"]: r["number"] for r in seen if r["kind"] == "piece" and r["size"] > low}
+        if not left:
+            if not any(r["kind"] == "piece" for r in seen):
+                return runs
+            low = 0 if low < BAND else low // BAND
+            continue
+        sizes = sorted(r["size"] for r in seen if r["kind"] == "gap")
+        if not sizes or sizes[-1] < min(left):
+            new = max(1, sum(length * n for length, n in left.items()) // room)
+            runs = runs.unionByName(spark.createDataFrame([("gap", 0, 0, new, room, opened)], RUNS))
+            opened, sizes = opened + new, [*sizes, room]
+        successor = F.coalesce(F.get(F.filter(F.array(*map(F.lit, sizes)), lambda g: g >= F.col("length")), F.lit(0)), F.lit(room + 1))
+        runs = sweep_round(runs.withColumn("gap", F.when(F.col("kind") == "piece", successor.cast("long")).otherwise(F.col("gap"))), low, room)
 
 
 def pack(docs: DataFrame, path: str, room: int = ROOM, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +222,9 @@ def pack(docs: DataFrame, path: str, room: int = ROOM, end_id: int = 0, id_col:
     for _, length, first, n in runs:
         before.append((-length, first, counts.get(-length, 0)))
         counts[-length] = counts.get(-length, 0) + n
-    matches = np.array(sweep(counts, room), dtype=np.int64).reshape(-1, 5)
+    spark = cut.sparkSession
+    found = swept(spark.createDataFrame(sorted(counts.items()), "length long, number long"), room).where("kind = 'match'")
+    matches = np.array([(r["length"], r["rank"], r["number"], r["first"], room - r["gap"]) for r in found.collect()], dtype=np.int64).reshape(-1, 5)
     steps = np.array(before, dtype=np.int64).reshape(-1, 3)
     steps = steps[np.argsort(steps[:, 1])]
 

@@ -85,20 +85,47 @@ def test_packing_odd(spark, odd_docs, no_docs, libraries):
     assert packing.pack(no_docs, WORDS).count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 50), max_size=80))
-def test_sweep_is_best_fit_decreasing(lengths):
-    counts = {n: lengths.count(n) for n in set(lengths)}
+def best_fit(lengths, room):
+    """Number of bins of best fit, longest first."""
     bins = []
     for n in sorted(lengths, reverse=True):
-        fits = [b for b in bins if b[0] >= n]
-        b = min(fits, default=None)
+        b = min((b for b in bins if b[0] >= n), default=None)
         if b is None:
-            bins.append(b := [50])
+            bins.append(b := [room])
         b[0] -= n
+    return len(bins)
+
+
+def filled(matches, room):
     found = {}
-    for length, _, number, first, offset in packing.sweep(counts, 50):
+    for _, rank, number, first, offset, length in sorted((m[4], m[1], m[2], m[3], m[4], m[0]) for m in matches):
         for s in range(first, first + number):
             assert found.get(s, 0) == offset
             found[s] = offset + length
-    assert len(found) == len(bins) and all(x <= 50 for x in found.values())
+    assert all(x <= room for x in found.values())
+    return found
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=80))
+def test_sweep_of_one_range(lengths):
+    """With as many empty sequences as best fit opens and the rest of them behind, every piece finds its place and none is lost."""
+    counts = [(n, 0, lengths.count(n)) for n in set(lengths)]
+    matches, over, gaps = packing.sweep(counts, [(50, 0, len(lengths))], 50)
+    assert not over and sum(m[2] for m in matches) == len(lengths)
+    assert len(filled(matches, 50)) + sum(n for g, _, n in gaps if g == 50) == len(lengths)
+    few, over, _ = packing.sweep(counts, [(20, 0, 3), (30, 3, 2)], 50)
+    assert sum(m[2] for m in few) + sum(n for _, _, n in over) == len(lengths) and all(m[0] <= 50 - m[4] for m in few)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_need_as_few_sequences_as_best_fit(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    lengths = [min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) if seed == 1 else rng.choice([2048, 1500, 700, 600, 340, 33, 5]) for _ in range(3000)]
+    counts = spark.createDataFrame(sorted((n, lengths.count(n)) for n in set(lengths)), "length long, number long")
+    matches = [(r.length, r.rank, r.number, r.first, 2048 - r.gap) for r in packing.swept(counts).where("kind = 'match'").collect()]
+    placed = {n: sorted((m[1], m[2]) for m in matches if m[0] == n) for n in set(lengths)}
+    assert all(sum(k for _, k in runs) == lengths.count(n) and all(a + k == b for (a, k), (b, _) in zip(runs, runs[1:])) for n, runs in placed.items())
+    assert len(filled(matches, 2048)) <= best_fit(lengths, 2048) * 1.005 + 1
