@@ -178,9 +178,9 @@ def test_passages_against_all_pairs(spark):
                     edited[i] = word()
                 rows.append((number, text(20) + (phrase if rng.random() < 0.5 else []) + text(rng.randrange(60)) + edited + text(30), edits))
                 number += 1
-    rows += [(number + i, text(40) + phrase + text(40), None) for i in range(40)]
+    rows += [(number + i, text(40) + phrase + text(40), None) for i in range(20)]
     group = text(90)
-    for i in range(60):
+    for i in range(30):
         edited = group.copy()
         for k in rng.sample(range(90), 4):
             edited[k] = word()
@@ -198,7 +198,7 @@ def test_passages_against_all_pairs(spark):
     for edits in (0, 6, 10, 13, 14):
         some = [i for i, _, e in rows if e == edits and i in linked]
         assert len(some) > 20 and sum(classes.get(i) == want[i] for i in some) >= 0.9 * len(some), edits
-    assert all(classes.get(number + 100 + i) == number + 100 for i in range(60))
+    assert all(classes.get(number + 100 + i) == number + 100 for i in range(30))
     for r in got:
         assert r.partner_id != r.doc_id and r.end - r.start >= 50 and r.similarity >= 0.8
         assert common_words(texts[r.doc_id][r.start : r.end], texts[r.partner_id]) >= 0.8 * (r.end - r.start) - 1
