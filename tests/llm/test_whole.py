@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from loomtrace.llm import decontamination, toxicity
+from loomtrace.llm import decontamination, similar, toxicity
 
 
 def invented(rng, n):
@@ -27,6 +28,18 @@ def test_edited_items_in_many_copies(spark):
     assert {(r.item_id, round(r.similarity, 3)) for r in got} == {(1, 0.8), (2, 0.9), (3, round(11 / 12, 3))}
 
 
+def test_parities_never_say_too_far():
+    """Parities bound the difference from below, at all sizes; alone they tell unlike sets of one size apart."""
+    rng = np.random.default_rng(14)
+    for n in [0, 1, 2, 63, 64, 65, 127, 500, 1025, 30_000]:
+        a = np.unique(rng.integers(-(2**62), 2**62, n))
+        for m in [0, n // 10, n // 2, n, 3 * n]:
+            b = np.unique(np.concatenate((a[m:], rng.integers(-(2**62), 2**62, m))))
+            apart = similar.least_apart(similar.parities(a), similar.parities(b))
+            assert apart == similar.least_apart(similar.parities(b), similar.parities(a)) <= len(np.setxor1d(a, b))
+            assert m != n or n < 500 or apart > 0.25 * n
+
+
 def test_near_duplicate_stage(spark):
     """The stage keeps what brute force keeps: copies edited to every similarity, chains of them, a large group, and texts of the tables."""
     rng = random.Random(12)
