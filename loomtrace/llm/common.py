@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.sources.scratch import dropped, saved, shared_dir  # noqa: F401  used by the operators from here
 
 
+_held: dict[tuple, Any] = {}
+
+
+def held(name: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task, made once. Only that of the last name stays, so operators that follow each other don't add up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

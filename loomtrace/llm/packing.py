@@ -20,14 +20,13 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_of
+from .common import held, saved, table, text_of
 from .token_count import byte_letters
 
 ROOM = 2048
@@ -94,9 +93,8 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

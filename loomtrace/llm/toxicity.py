@@ -8,6 +8,7 @@ quotation from abuse, and a logistic regression turns a text's matches into a sc
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_of
+from .common import held, saved, table, text_of
 
 #: Labelled rows that the model is fitted on, about; taken by a hash of their id.
 FITTED_ROWS = 12_000
@@ -48,7 +49,8 @@ class FuzzyTrie:
     Terms that end in * are stems: any word that begins with one matches it, without edits.
     """
 
-    STATES = 200_000
+    #: Each takes about a kilobyte; beyond, all are forgotten and made anew.
+    STATES = 60_000
 
     def __init__(self, terms: dict[str, float]):
         self.weight: dict[int, float] = {}
@@ -158,7 +160,7 @@ class Matcher(dict):
         self.trie, self.known = FuzzyTrie(model.terms), model.known
 
     def __missing__(self, raw: str) -> tuple[int, float] | None:
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         word = raw.strip(EDGE)
         m = self.trie.match(word) if word else None
@@ -229,9 +231,9 @@ def words_and_stems(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 500):
+            for at in range(0, len(b), 100):
                 rows = []
-                for text, y in zip(b["text"][at : at + 500], b["toxic"][at : at + 500], strict=True):
+                for text, y in zip(b["text"][at : at + 100], b["toxic"][at : at + 100], strict=True):
                     words = ["", *(w.strip(EDGE) for w in tokens(text)), ""]
                     rows += [(w, zlib.crc32(f"{words[i - 1]} {words[i + 1]}".encode()), y) for w, i in {w: i for i, w in enumerate(words)}.items() if w]
                 yield pd.DataFrame(rows, columns=["word", "between", "toxic"])
@@ -329,10 +331,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. Null counts as an empty text, which is scored like any other; a null id is not held out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by TERMS, CONTEXT_WORDS and FITTED_ROWS
+    name = ("toxic terms", uuid.uuid4().hex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        match = Matcher(m)
+        match = held(name, lambda: Matcher(m))
         w = np.array(m.weights)
         for b in batches:
             if m.weights:
