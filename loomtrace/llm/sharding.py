@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -27,7 +27,8 @@ BATCH = 2000
 
 def shuffled(rows: DataFrame, seed: int, bucket_col: str, place_col: str) -> DataFrame:
     """Each partition is a bucket: its rows in random order, with the number of the bucket and the place in it."""
-    columns = rows.columns
+    columns = [f"c{i}" for i in range(len(rows.columns))]  # names with dots can't go to mapInArrow
+    inner = rows.toDF(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -40,10 +41,10 @@ def shuffled(rows: DataFrame, seed: int, bucket_col: str, place_col: str) -> Dat
         for i in range(0, len(whole), BATCH):
             some = whole.take(pa.array(order[i : i + BATCH])).combine_chunks().to_batches()[0]
             n = len(some)
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(n, bucket, dtype=np.int32)), pa.array(np.arange(i, i + n))], names=[*columns, bucket_col, place_col])
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(n, bucket, dtype=np.int32)), pa.array(np.arange(i, i + n))], names=[*columns, "bucket", "place"])
 
-    schema = StructType([*rows.schema, StructField(bucket_col, IntegerType()), StructField(place_col, LongType())])
-    return rows.mapInArrow(run, schema)
+    schema = StructType([*inner.schema, StructField("bucket", IntegerType()), StructField("place", LongType())])
+    return inner.mapInArrow(run, schema).toDF(*rows.columns, bucket_col, place_col)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
@@ -58,17 +59,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes:
     key, bucket, place = (fresh(c, docs) for c in ("row_key", "row_bucket", "row_place"))
     size = F.octet_length(text_of(text_col)) + ROW_BYTES
     keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), named(id_col), named(text_col)))
-    seen = Observation()
-    many = keyed.observe(seen, F.sum(size).alias("bytes")).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    total = docs.agg(F.sum(size)).collect()[0][0] or 0
+    many = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
     many = saved(many.where((F.col("n") > 1) & (F.col("size") > bucket_bytes // 8)).select(F.col(key).alias("many")), "repeated-rows")
-    buckets = max(1, -(-int(seen.get["bytes"] or 0) // bucket_bytes))
+    buckets = max(1, -(-total // bucket_bytes))
     if not many.isEmpty():
         salt = F.when(F.col("many").isNotNull(), F.xxhash64(F.col(key), F.monotonically_increasing_id())).otherwise(F.col(key))
         keyed = keyed.join(many, F.col(key) == F.col("many"), "left").select(*map(named, docs.columns), salt.alias(key))
     plain = [named(f.name) for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
     dealt = keyed.repartition(buckets, key).sortWithinPartitions(key, F.xxhash64(*plain)).drop(key)
     written = saved(shuffled(dealt, seed, bucket, place), "shuffled-buckets")
-    # A row for each bucket.
+    # A row for each bucket, of some 32 MB each: few enough for one task to add up.
     counts = written.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(bucket)
     starts = counts.select(F.col(bucket).alias("of_bucket"), (F.sum("n").over(w) - F.col("n")).alias("first"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))

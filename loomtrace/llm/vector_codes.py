@@ -92,8 +92,8 @@ def assigned(rows: DataFrame, carried: list[str], books: np.ndarray, moved: np.n
         kinds = None
         for b in batches:
             kinds = kinds or [b.schema.field(c).type for c in carried]
-            x = matrix(b.column("vector"), parts * width, kind).reshape(-1, parts, width)
-            n = len(x)
+            n = len(b)
+            x = matrix(b.column("vector"), parts * width, kind).reshape(n, parts, width)
             old = np.full((n, parts), -1) if moved is None else matrix(b.column("code"), parts, np.dtype(np.int64))
             at, upper, lower = old.copy(), np.empty((n, parts)), np.empty((n, parts))
             if moved is not None:
@@ -146,7 +146,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     width = -(-length // parts)
     kind = exact_kind(4 * max(width, 1) * most**2 * parts)
     seeds = kept.orderBy(F.asc_nulls_last("c0"), "vector").select("vector").limit(entries).collect()
-    books = matrix(pa.array([r[0] for r in seeds], pa.list_(pa.int64())), parts * width, kind).reshape(-1, parts, width).transpose(1, 0, 2).copy()
+    books = matrix(pa.array([r[0] for r in seeds], pa.list_(pa.int64())), parts * width, kind).reshape(len(seeds), parts, width).transpose(1, 0, 2).copy()
     state, moved, written = kept, None, None
     sums = [[[0] * width for _ in range(len(seeds))] for _ in range(parts)]
     counts = np.zeros((parts, len(seeds)), dtype=np.int64)
