@@ -6,6 +6,7 @@ here are our own. A null argument makes any result null: what can't be computed
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,11 @@ class EquationError(ValueError):
     pass
 
 
+def canonical(node: dict) -> str:
+    """The same text for equal trees."""
+    return json.dumps(node, sort_keys=True, separators=(",", ":"))
+
+
 def strict(value: Column, args: list[Column]) -> Column:
     return F.when(reduce(lambda a, b: a & b, (x.isNotNull() for x in args)), value)
 
@@ -37,8 +43,15 @@ OPERATORS = {
     "geometric_mean": (1, None, lambda a: strict(F.when(reduce(lambda x, y: x & y, (c > 0 for c in a)), F.exp(folded(lambda x, y: x + y)([F.ln(c) for c in a]) / len(a))), a)),
     "clamp": (3, 3, lambda a: strict(F.greatest(a[1], F.least(a[2], a[0])), a)),
 }
-def compile_node(node: dict, inputs: dict[str, Column], constants: dict[str, float]) -> Column:
-    """A tree as one Column. Unknown nodes, names and operators, and wrong numbers of arguments are errors."""
+
+
+def compile_node(node: dict, inputs: dict[str, Column], constants: dict[str, float], known: dict[str, Column] | None = None) -> Column:
+    """A tree as one Column. Unknown nodes, names and operators, and wrong numbers of arguments are errors.
+
+    known has Columns for whole sub-trees (by `canonical`), which are put in their place.
+    """
+    if known and (found := known.get(canonical(node))) is not None:
+        return found
     kind = node.get("kind")
     if kind == "literal":
         return F.lit(float(node["value"]))
@@ -50,7 +63,7 @@ def compile_node(node: dict, inputs: dict[str, Column], constants: dict[str, flo
             return F.lit(float(constants[name]))
         raise EquationError(f"unknown {kind}: {name}")
     if kind == "operation":
-        operator, args = node.get("operator"), [compile_node(x, inputs, constants) for x in node.get("arguments", [])]
+        operator, args = node.get("operator"), [compile_node(x, inputs, constants, known) for x in node.get("arguments", [])]
         if operator not in OPERATORS:
             raise EquationError(f"unknown operator: {operator}")
         least, most, build = OPERATORS[operator]
