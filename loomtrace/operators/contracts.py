@@ -6,15 +6,13 @@ number, and a key that no contract names is an error. All errors of a document a
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from loomtrace.functions.schemas import QUALITY, SOURCE_KINDS
+from loomtrace.operators import json_schema
 
 
 @dataclass(frozen=True)
@@ -234,158 +232,62 @@ IMPLICATIONS: dict[str, list[Implication]] = {
     ],
     "signal.sample": [Implication("source", "kind", ("SIMULATOR",), "", child="signal_id", rule="pattern", limit=r"^sim\.")],
 }
-ROOT = "<root>"
+ROOT = json_schema.ROOT
+#: Where the contracts' own schema documents are named from.
+BASE = "urn:loomtrace:contracts/"
 
 
-def kind_of(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def member(v: Column, name: str) -> Column:
-    """A member of an object: null if there is none, a variant null if it is null."""
-    return F.try_variant_get(v, f"$.{name}" if name else "$", "variant")
-
-
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind_of(v).startswith("OBJECT"), F.lit(False))
-
-
-def is_text(v: Column) -> Column:
-    return F.coalesce(kind_of(v) == "STRING", F.lit(False))
-
-
-def text(v: Column) -> Column:
-    return F.when(is_text(v), F.try_variant_get(v, "$", "string"))
-
-
-def number(v: Column) -> Column:
-    return F.when(kind_of(v).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$", "double"))
-
-
-def wrong(condition: Column, path: Column, rule: str) -> Column:
-    return F.when(condition, F.struct(path.alias("path"), F.lit(rule).alias("rule")))
-
-
-def below(path: Column, name: Column | str) -> Column:
-    name = F.lit(name) if isinstance(name, str) else name
-    return F.when(path == ROOT, name.cast("string")).otherwise(F.concat_ws(".", path, name.cast("string")))
-
-
-def valid_tree(node: object) -> bool:
-    if not isinstance(node, dict):
-        return False
-    name = lambda: set(node) == {"kind", "name"} and isinstance(node["name"], str) and all(c.isdigit() or c == "_" or "a" <= c <= "z" for c in node["name"]) and "a" <= node["name"][:1] <= "z"
-    match node.get("kind"):
-        case "literal":
-            return set(node) == {"kind", "value"} and isinstance(node["value"], int | float) and not isinstance(node["value"], bool)
-        case "input" | "constant":
-            return name()
-        case "operation":
-            args = node.get("arguments")
-            return set(node) == {"kind", "operator", "arguments"} and node["operator"] in OPERATORS and isinstance(args, list) and bool(args) and all(map(valid_tree, args))
-    return False
-
-
-@F.pandas_udf(BooleanType())
-def is_tree(documents: pd.Series) -> pd.Series:
-    """Expressions nest to any depth, which no column expression can follow; definitions are few."""
-    return documents.map(lambda d: d is not None and valid_tree(json.loads(d)))
-
-
-def errors_of(v: Column, path: Column, kind: object) -> Column:
-    """An array of (path, rule), some of them null, for what is wrong with a value that is there."""
-    at = lambda condition, rule: wrong(condition, path, rule)
+def schema_of(kind: object) -> dict:
+    """A contract, or a part of one, as a JSON Schema."""
     match kind:
         case Fixed(value):
-            return F.array(at(~F.coalesce(text(v) == value, F.lit(False)), "const"))
+            return {"const": value}
         case Text(pattern, least, most, among):
-            found = [at(~is_text(v), "type")]
-            if pattern:
-                found.append(at(~text(v).rlike(pattern), "pattern"))
-            if least:
-                found.append(at(F.length(text(v)) < least, "minLength"))
-            if most:
-                found.append(at(F.length(text(v)) > most, "maxLength"))
-            if among:
-                found.append(at(~F.coalesce(text(v).isin(list(among)), F.lit(False)), "enum"))
-            return F.array(*found)
+            rest = {"pattern": pattern, "minLength": least, "maxLength": most, "enum": list(among) if among else None}
+            return {"type": "string"} | {k: v for k, v in rest.items() if v is not None}
         case Number(least, most, whole):
-            n = number(v)
-            found = [at(n.isNull() | ((n != F.floor(n)) if whole else F.lit(False)), "type")]
-            if least is not None:
-                found.append(at(n < least, "minimum"))
-            if most is not None:
-                found.append(at(n > most, "maximum"))
-            return F.array(*found)
+            return {"type": "integer" if whole else "number"} | {k: v for k, v in (("minimum", least), ("maximum", most)) if v is not None}
         case Flag():
-            return F.array(at(kind_of(v) != "BOOLEAN", "type"))
+            return {"type": "boolean"}
         case Tree():
-            return F.array(at(~is_tree(F.to_json(v)), "oneOf"))
+            return {"$ref": "#/$defs/tree"}
         case Items(of, least, unique):
-            is_array = kind_of(v).startswith("ARRAY")
-            all_of = F.when(is_array, F.try_variant_get(v, "$", "array<variant>"))
-            found = [at(~is_array, "type")]
-            if least:
-                found.append(at(F.size(all_of) < least, "minItems"))
-            if unique:
-                written = F.transform(all_of, lambda x: F.to_json(x))
-                found.append(at(F.size(F.array_distinct(written)) < F.size(written), "uniqueItems"))
-            inner = F.flatten(F.transform(all_of, lambda x, i: errors_of(x, below(path, i), of)))
-            return F.concat(F.array(*found), F.coalesce(inner, F.array().cast("array<struct<path:string,rule:string>>")))
+            return {"type": "array", "items": schema_of(of)} | ({"minItems": least} if least else {}) | ({"uniqueItems": True} if unique else {})
         case Measures(of, least):
-            entries = F.map_entries(F.when(is_object(v), F.try_variant_get(v, "$", "map<string,variant>")))
-            inner = F.flatten(F.transform(entries, lambda e: errors_of(e["value"], below(path, e["key"]), of)))
-            return F.concat(F.array(at(~is_object(v), "type"), at(F.size(entries) < least, "minProperties")), F.coalesce(inner, F.array().cast("array<struct<path:string,rule:string>>")))
+            return {"type": "object", "additionalProperties": schema_of(of)} | ({"minProperties": least} if least else {})
         case Record(required, optional):
-            known = required | optional
-            keys = F.json_object_keys(F.when(is_object(v), F.to_json(v)))
-            found = [at(~is_object(v), "type"), at(F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0, "additionalProperties")]
-            found += [at(is_object(v) & member(v, name).isNull(), f"required:{name}") for name in required]
-            parts = [F.array(*found)]
-            for name, inner in known.items():
-                part = errors_of(member(v, name), below(path, name), inner)
-                parts.append(F.when(member(v, name).isNotNull(), part).otherwise(F.array().cast("array<struct<path:string,rule:string>>")))
-            return F.concat(*parts)
+            return {"type": "object", "additionalProperties": False, "required": list(required), "properties": {k: schema_of(v) for k, v in (required | optional).items()}}
     raise TypeError(kind)
 
 
-def implied(v: Column, rule: Implication) -> list[Column]:
-    parent, target = member(v, rule.parent), member(v, rule.at)
-    key = member(parent, rule.key)
-    holds = is_object(parent) & is_object(target) & (key.isNull() | F.coalesce(text(key).isin(list(rule.values)), F.lit(False)))
-    path = F.lit(rule.at or ROOT)
-    found = [wrong(holds & member(target, n).isNull(), path, f"required:{n}") for n in rule.names]
-    if rule.child:
-        child = member(target, rule.child)
-        broken = {
-            "pattern": lambda: ~text(child).rlike(rule.limit),
-            "minItems": lambda: F.size(F.when(kind_of(child).startswith("ARRAY"), F.try_variant_get(child, "$", "array<variant>"))) < rule.limit,
-            "const": lambda: ~F.coalesce(F.when(kind_of(child) == "BOOLEAN", F.try_variant_get(child, "$", "boolean")) == rule.limit, F.lit(False)),
-        }[rule.rule]()
-        found.append(wrong(holds & child.isNotNull() & broken, below(path, rule.child), rule.rule))
+def tree_schema() -> dict:
+    """An expression: one of four kinds of node, to any depth."""
+    node = lambda kind, **members: {"type": "object", "additionalProperties": False, "required": ["kind", *members], "properties": {"kind": {"const": kind}, **members}}
+    operation = node("operation", operator={"type": "string", "enum": list(OPERATORS)}, arguments={"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/tree"}})
+    return {"oneOf": [node("literal", value={"type": "number"}), node("input", name=schema_of(NAME)), node("constant", name=schema_of(NAME)), operation]}
+
+
+def condition(rule: Implication) -> dict:
+    """An implication as if and then; both look at the document's own members."""
+    within = lambda name, schema: {"properties": {name: schema}} if name else schema
+    then = {"required": list(rule.names)} if rule.names else {"properties": {rule.child: {rule.rule: rule.limit}}}
+    return {"if": within(rule.parent, {"properties": {rule.key: {"enum": list(rule.values)}}}), "then": within(rule.at, then)}
+
+
+def documents_of(contracts: dict[str, Record] | None = None) -> dict[str, dict]:
+    """By id the schema documents of the contracts, as they could be written to files."""
+    found = {}
+    for name, record in (contracts or CONTRACTS).items():
+        schema = {"$id": BASE + name, "$defs": {"tree": tree_schema()}} | schema_of(record)
+        if rules := IMPLICATIONS.get(name):
+            schema["allOf"] = [condition(r) for r in rules]
+        found[BASE + name] = schema
     return found
 
 
 def contract_errors(documents: DataFrame, json_col: str, *keep: str, only: tuple[str, ...] = tuple(CONTRACTS)) -> DataFrame:
-    """(keep..., contract, path, rule): all errors of each document, dispatched by its `contract`.
-
-    Text that is no JSON has the error `json`; a document without a contract name `contract`, with one that
-    is not in `only` `unregistered`. A missing member is `required:<name>` at its parent.
-    """
-    v = F.try_parse_json(F.col(json_col))
-    parsed = documents.select(*keep, v.alias("__v"))
-    doc = F.col("__v")
-    name = text(member(doc, "contract"))
-    whole = F.coalesce(
-        wrong(doc.isNull(), F.lit(ROOT), "json"), wrong(name.isNull(), F.lit("contract"), "contract"), wrong(~name.isin(list(only)), F.lit("contract"), "unregistered")
-    )
-    checked = F.array(whole)
-    for contract in only:
-        record = CONTRACTS[contract]
-        found = F.concat(errors_of(doc, F.lit(ROOT), record), F.array(*(x for i in IMPLICATIONS.get(contract, []) for x in implied(doc, i)), F.lit(None).cast("struct<path:string,rule:string>")))
-        checked = F.when(name == contract, found).otherwise(checked)
-    errors = F.array_distinct(F.filter(checked, lambda e: e.isNotNull()))
-    return parsed.select(*keep, name.alias("contract"), F.explode(errors).alias("e")).select(*keep, "contract", "e.path", "e.rule")
+    """(keep..., contract, path, rule): all errors of each document under the contracts named here; see json_schema."""
+    return json_schema.schema_errors(documents, json_col, *keep, catalog=json_schema.Catalog(documents_of()), only=only)
 
 
 def error_text(errors: DataFrame, *keys: str) -> DataFrame:
