@@ -401,7 +401,8 @@ def follows(catalog: Catalog, node: dict, base: str):
 
     @F.pandas_udf(BooleanType())
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else holds(catalog, node, base, json.loads(t)))
+        known = {t: holds(catalog, node, base, json.loads(t)) for t in texts.dropna().unique()}  # of a batch
+        return texts.map(known)
 
     return run
 

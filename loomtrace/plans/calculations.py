@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtrace.operators import alignment, ranges
+from loomtrace.operators import alignment, json_schema, ranges
 from loomtrace.plans import stages
 from loomtrace.plans.catalogue import micros, query, read
 
@@ -89,3 +89,52 @@ def range_pairs(spark, sf_dir):
     held = read(spark, sf_dir, "supplier").select("s_suppkey", start.alias("start"), (start + F.when(F.col("s_suppkey") % 50 == 0, 1_000_000).otherwise(F.col("s_suppkey") % 9)).alias("end"))
     parts = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 13).alias("start"), (F.col("p_partkey") * 13 + F.col("p_size") % 7).alias("end"))
     return ranges.overlap_pairs(parts, held).select("left.p_partkey", "right.s_suppkey")
+
+
+#: A record that no contract of the library names: references, alternatives, conditions and closed objects.
+ORDER_SCHEMA = {
+    "$id": "urn:orders/record",
+    "$defs": {"key": {"type": "integer", "minimum": 0}, "money": {"type": "number", "minimum": 900, "maximum": 450000}, "day": {"type": "string", "pattern": "^199[3-9]-[0-9]{2}-[0-9]{2}$"}},
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["contract", "order", "customer", "status", "total"],
+    "properties": {
+        "contract": {"const": "order.record"},
+        "order": {"$ref": "#/$defs/key"},
+        "customer": {"oneOf": [{"$ref": "#/$defs/key"}, {"type": "string", "pattern": "^c[0-9]+$"}]},
+        "status": {"enum": ["O", "F", "P"]},
+        "total": {"$ref": "#/$defs/money"},
+        "urgency": {"type": "string", "pattern": "^[1-3]-"},
+        "days": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"$ref": "#/$defs/day"}},
+        "notes": {"type": "object", "additionalProperties": {"type": "string", "maxLength": 4}},
+    },
+    "allOf": [{"if": {"properties": {"status": {"const": "F"}}}, "then": {"required": ["days"], "properties": {"total": {"maximum": 400000}}}, "else": {"properties": {"urgency": {"not": {"const": "2-HIGH"}}}}}],
+}
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_totalprice AS t, o_orderpriority AS u, strftime(o_orderdate, '%Y-%m-%d') AS d, year(o_orderdate) AS y FROM orders)
+SELECT k, 'total' AS path, 'maximum' AS rule FROM o WHERE t > 450000 OR s = 'F' AND t > 400000
+UNION ALL SELECT k, 'total', 'minimum' FROM o WHERE t < 900
+UNION ALL SELECT k, 'urgency', 'pattern' FROM o WHERE u[1] NOT IN ('1', '2', '3')
+UNION ALL SELECT k, 'urgency', 'not' FROM o WHERE s <> 'F' AND u = '2-HIGH'
+UNION ALL SELECT k, '<root>', 'required:days' FROM o WHERE s = 'F' AND c % 5 = 0
+UNION ALL SELECT k, 'customer', 'oneOf' FROM o WHERE c % 4 = 3
+UNION ALL SELECT k, 'days.0', 'pattern' FROM o WHERE c % 5 <> 0 AND y NOT BETWEEN 1993 AND 1999
+UNION ALL SELECT k, 'days', 'uniqueItems' FROM o WHERE c % 5 = 1
+UNION ALL SELECT k, 'days.1', 'pattern' FROM o WHERE c % 5 = 1 AND y NOT BETWEEN 1993 AND 1999
+UNION ALL SELECT k, 'notes.priority', 'maxLength' FROM o WHERE length(u) > 6
+UNION ALL SELECT k, '<root>', 'additionalProperties' FROM o WHERE k % 10 = 0""")
+def order_documents(spark, sf_dir):
+    """An order as a JSON document, its faults decided by its values, under a schema document."""
+    c, day = F.col("o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    customer = F.when(c % 4 == 3, F.concat(F.lit('"x'), c, F.lit('"'))).when(c % 4 == 2, F.concat(F.lit('"c'), c, F.lit('"'))).otherwise(c.cast("string"))
+    rest = F.to_json(
+        F.struct(
+            F.lit("order.record").alias("contract"), F.col("o_orderkey").alias("order"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.col("o_orderpriority").alias("urgency"),
+            F.when(c % 5 == 1, F.array(day, day)).when(c % 5 != 0, F.array(day)).alias("days"),
+            F.create_map(F.lit("priority"), F.when(F.length("o_orderpriority") > 6, F.col("o_orderpriority")).otherwise("low")).alias("notes"), F.when(F.col("o_orderkey") % 10 == 0, 1).alias("other"),
+        )
+    )
+    docs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit('{"customer":'), customer, F.lit(","), F.substr(rest, F.lit(2))).alias("doc"))
+    return json_schema.schema_errors(docs, "doc", "k", catalog=json_schema.Catalog({ORDER_SCHEMA["$id"]: ORDER_SCHEMA})).select("k", "path", "rule")
