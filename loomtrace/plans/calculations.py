@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomtrace.functions import ids
 from loomtrace.operators import alignment, json_schema, ranges
-from loomtrace.plans import stages
+from loomtrace.plans import runs, stages
 from loomtrace.plans.catalogue import micros, query, read
 
 
@@ -138,3 +139,51 @@ def order_documents(spark, sf_dir):
     )
     docs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit('{"customer":'), customer, F.lit(","), F.substr(rest, F.lit(2))).alias("doc"))
     return json_schema.schema_errors(docs, "doc", "k", catalog=json_schema.Catalog({ORDER_SCHEMA["$id"]: ORDER_SCHEMA})).select("k", "path", "rule")
+
+
+def definition(equation_id: str, ast: dict, inputs: dict[str, tuple[str, int, list[str]]], unit: str, validation: str = "VEHICLE_VALIDATED", constants: dict[str, float] | None = None, **bounds: float) -> dict:
+    """A definition document; inputs are (unit, maximum age, accepted qualities) by name."""
+    return {
+        "equation_id": equation_id, "version": "1.0.0", "expression": {"ast": ast}, "inputs": [{"name": n, "unit": u, "maximum_age_ms": a, "accepted_quality": q} for n, (u, a, q) in inputs.items()],
+        "constants": [{"name": n, "value": v} for n, v in (constants or {}).items()], "output": {"unit": unit, "truth_boundary": "ESTIMATED"} | bounds,
+        "confidence_model": {"factors": ["SOURCE_QUALITY", "FRESHNESS", "COVERAGE", "MODEL_VALIDATION"]}, "validation_status": validation,
+    }
+
+
+ALL = ["GOOD", "SENSOR_UNVERIFIED", "STALE"]
+#: Three equations that feed each other, handed in out of order, and one that feeds itself.
+REGISTRY = [
+    runs.Equation(definition("order.per_unit", call("divide", given("taxed"), given("quantity")), {"taxed": ("usd", 900, ["GOOD", "SENSOR_UNVERIFIED"]), "quantity": ("1", 700, ALL)}, "usd", maximum=2500.0), {"taxed": "order.taxed"}),
+    runs.Equation(definition("order.loop", call("add", given("loop"), literal(1)), {"loop": ("1", 1, ["GOOD"])}, "1"), {"loop": "order.loop"}),
+    runs.Equation(definition("order.taxed", call("multiply", given("net"), call("add", {"kind": "constant", "name": "one"}, given("tax"))), {"net": ("usd", 800, ALL), "tax": ("1", 1000, ALL)}, "usd", "CALIBRATED", {"one": 1.0}), {"net": "order.net"}),
+    runs.Equation(definition("order.net", call("multiply", given("price"), call("subtract", literal(1), given("discount"))), {"price": ("usd", 950, ALL), "discount": ("1", 1000, ["GOOD", "STALE"])}, "usd")),
+]
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_quantity AS quantity, l_partkey % 1000 AS price_age, l_suppkey % 1000 AS discount_age, l_orderkey % 1000 AS tax_age, (l_partkey + l_suppkey) % 1000 AS quantity_age,
+  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS price_rank, CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS discount_rank FROM lineitem),
+n AS (SELECT *, CASE WHEN price_age <= 950 AND discount_age <= 1000 AND discount_rank = 1 THEN price * (1 - discount) END AS net, greatest(price_age, discount_age) AS net_age, greatest(price_rank, discount_rank) AS net_rank FROM l),
+t AS (SELECT *, CASE WHEN net IS NOT NULL AND net_age <= 800 AND tax_age <= 1000 THEN net * (1 + tax) END AS taxed, greatest(net_age, tax_age) AS taxed_age FROM n),
+u AS (SELECT *, CASE WHEN taxed IS NOT NULL AND taxed_age <= 900 AND net_rank < 3 AND quantity_age <= 700 THEN taxed / quantity END AS per_unit FROM t),
+w AS (SELECT *, [1.0, 0.6, 0.3][net_rank] AS net_worth FROM u)
+SELECT l_orderkey, l_linenumber, l_partkey, 'order.net' AS equation_id, CASE WHEN net IS NULL THEN 'UNAVAILABLE' ELSE 'CALCULATED' END AS status, round(net, 7) AS value, CASE WHEN net IS NOT NULL THEN round(least(net_worth, 1 - price_age / 950, 1 - discount_age / 1000, 0.75), 6) END AS confidence, (CASE WHEN price_age <= 950 THEN 0 ELSE 1 END + CASE WHEN discount_age <= 1000 AND discount_rank = 1 THEN 0 ELSE 1 END)::INT AS reasons FROM w
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.taxed', CASE WHEN taxed IS NULL THEN 'UNAVAILABLE' ELSE 'CALCULATED' END, round(taxed, 7), CASE WHEN taxed IS NOT NULL THEN round(least(net_worth, 1 - net_age / 800, 1 - tax_age / 1000), 6) END, CASE WHEN taxed IS NULL THEN 1 ELSE 0 END FROM w
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.per_unit', CASE WHEN per_unit IS NULL THEN 'UNAVAILABLE' WHEN per_unit > 2500 THEN 'OUT_OF_RANGE' ELSE 'CALCULATED' END, CASE WHEN per_unit <= 2500 THEN round(per_unit, 7) END, CASE WHEN per_unit <= 2500 THEN round(least(net_worth, 1 - taxed_age / 900, 1 - quantity_age / 700, 0.75), 6) END,
+  (CASE WHEN taxed IS NOT NULL AND taxed_age <= 900 AND net_rank < 3 THEN 0 ELSE 1 END + CASE WHEN quantity_age <= 700 THEN 0 ELSE 1 END + CASE WHEN per_unit > 2500 THEN 1 ELSE 0 END)::INT FROM w
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.loop', 'UNAVAILABLE', NULL, NULL, 1 FROM l""")
+def calculation_runs(spark, sf_dir):
+    """Columns of lineitem as inputs: keys decide their ages, flags their qualities."""
+    found = runs.runs(line_inputs(read(spark, sf_dir, "lineitem")), REGISTRY, ["l_orderkey", "l_linenumber", "l_partkey"], "at_ms")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "run.equation_id", "run.status", F.round("run.value", 7).alias("value"), F.round("run.confidence", 6).alias("confidence"), F.size("run.reasons").alias("reasons"))
+
+
+def line_inputs(lines):
+    quality = F.when(F.col("l_returnflag") == "A", "GOOD").when(F.col("l_returnflag") == "R", "SENSOR_UNVERIFIED").otherwise("STALE")
+    at = F.unix_millis(F.col("l_shipdate").cast("timestamp"))
+    one = lambda value, age, q: F.struct(F.col(value).alias("value"), (age % 1000).alias("age_ms"), q.alias("quality"), ids.deterministic_id("sample", F.concat_ws("|", F.lit(value), "l_orderkey", "l_linenumber", "l_partkey"), at).alias("evidence_ref"))
+    return lines.select(
+        "l_orderkey", "l_linenumber", "l_partkey", at.alias("at_ms"),
+        one("l_extendedprice", F.col("l_partkey"), quality).alias("price"), one("l_discount", F.col("l_suppkey"), F.when(F.col("l_linestatus") == "O", "GOOD").otherwise("SENSOR_UNVERIFIED")).alias("discount"),
+        one("l_tax", F.col("l_orderkey"), F.lit("GOOD")).alias("tax"), one("l_quantity", F.col("l_partkey") + F.col("l_suppkey"), F.lit("GOOD")).alias("quantity"),
+    )
