@@ -84,15 +84,17 @@ def crc32c_of(data: Column | str) -> Column:
 
 
 def version_parts(version: Column) -> Column:
-    """The digits that begin each dot- or dash-separated part, as integers; parts without one count 0."""
-    parts = F.split(F.regexp_replace(version, "-", "."), r"\.")
-    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+"), F.regexp_extract(p, "^([0-9]+)", 1).cast("int")).otherwise(0))
+    """The digits that begin each part between dots, as whole numbers; empty parts are passed over, parts without a digit count 0."""
+    parts = F.filter(F.split(version, r"\."), lambda p: p != "")
+    digits = lambda p: F.regexp_extract(p, "^([0-9]+)", 1)
+    most = F.lit("9" * 38).cast("decimal(38,0)")
+    return F.transform(parts, lambda p: F.when(digits(p) == "", F.lit(0).cast("decimal(38,0)")).otherwise(F.coalesce(digits(p).try_cast("decimal(38,0)"), most)))
 
 
 def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1; missing parts count 0; null if one of them is null."""
     pa, pb = version_parts(a), version_parts(b)
-    signs = F.zip_with(pa, pb, lambda x, y: F.signum(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))).cast("int"))
+    signs = F.zip_with(pa, pb, lambda x, y: F.when(F.coalesce(x, F.lit(0)) > F.coalesce(y, F.lit(0)), 1).when(F.coalesce(x, F.lit(0)) < F.coalesce(y, F.lit(0)), -1).otherwise(0))
     return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.get(F.filter(signs, lambda s: s != 0), F.lit(0)), F.lit(0)))
 
 

@@ -24,7 +24,7 @@ def deterministic_id(prefix: str, seed: Column, timestamp_ms: Column) -> Column:
 
 def id_timestamp_ms(domain_id: Column) -> Column:
     """The time in an id; null for what isn't one."""
-    body = F.regexp_extract(domain_id, r"^[a-z][a-z0-9]*_([0-9A-HJKMNP-TV-Z]{26})$", 1)
+    body = F.regexp_extract(domain_id, r"^[a-z][a-z0-9]*_([0-9A-HJKMNP-TV-Z]{26})\z", 1)
     value = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(0).cast("long"), lambda acc, i: acc * 32 + _letter_value(body, i))
     return F.when(F.length(body) == 26, value)
 
@@ -34,7 +34,7 @@ def _letter_value(body: Column, i: Column) -> Column:
 
 
 def is_domain_id(value: Column, prefix: str | None = None) -> Column:
-    return value.rlike(rf"^{prefix or '[a-z][a-z0-9]*'}_[0-9A-HJKMNP-TV-Z]{{26}}$")
+    return value.rlike(rf"^{prefix or '[a-z][a-z0-9]*'}_[0-9A-HJKMNP-TV-Z]{{26}}\z")
 
 
 def new_id(prefix: str) -> Column:

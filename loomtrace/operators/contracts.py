@@ -80,6 +80,8 @@ class Implication:
     limit: object = None
 
 
+#: The name of the expression language where the caller gives no other.
+LANGUAGE = "own-expression-1"
 # Fixed values of the contracts: patterns, lists and field names.
 ULID = "[0-9A-HJKMNP-TV-Z]{26}"
 SEMVER = Text(r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?$")
@@ -188,7 +190,7 @@ CONTRACTS: dict[str, Record] = {
                 {"encoding": Text(among=("INTEGER", "IEEE754", "BIT_FIELD")), "byte_offset": COUNT, "byte_length": Number(1, 8, True), "endianness": Text(among=("BIG", "LITTLE")), "signed": Flag()},
                 {"bit_offset": Number(0, 63, True), "bit_length": Number(1, 64, True)},
             ),
-            "transform": Record({"language": Text("^[a-z]+-expression-1$"), "ast": Tree()}),
+            "transform": Record({"language": Fixed(LANGUAGE), "ast": Tree()}),
             "canonical_unit": UNIT,
             "plausible_range": Record({"minimum": Number(), "maximum": Number()}),
             "cadence": Record({"expected_period_ms": Number(1, whole=True), "stale_after_ms": Number(1, whole=True)}),
@@ -274,20 +276,22 @@ def condition(rule: Implication) -> dict:
     return {"if": within(rule.parent, {"properties": {rule.key: {"enum": list(rule.values)}}}), "then": within(rule.at, then)}
 
 
-def documents_of(contracts: dict[str, Record] | None = None) -> dict[str, dict]:
-    """By id the schema documents of the contracts, as they could be written to files."""
+def documents_of(contracts: dict[str, Record] | None = None, language: str = LANGUAGE) -> dict[str, dict]:
+    """By id the schema documents of the contracts, as they could be written to files; language names that of expressions."""
     found = {}
     for name, record in (contracts or CONTRACTS).items():
         schema = {"$id": BASE + name, "$defs": {"tree": tree_schema()}} | schema_of(record)
         if rules := IMPLICATIONS.get(name):
             schema["allOf"] = [condition(r) for r in rules]
+        if name == "signal.definition":
+            schema["properties"]["transform"]["properties"]["language"] = {"const": language}
         found[BASE + name] = schema
     return found
 
 
-def contract_errors(documents: DataFrame, json_col: str, *keep: str, only: tuple[str, ...] = tuple(CONTRACTS)) -> DataFrame:
+def contract_errors(documents: DataFrame, json_col: str, *keep: str, only: tuple[str, ...] = tuple(CONTRACTS), language: str = LANGUAGE) -> DataFrame:
     """(keep..., contract, path, rule): all errors of each document under the contracts named here; see json_schema."""
-    return json_schema.schema_errors(documents, json_col, *keep, catalog=json_schema.Catalog(documents_of()), only=only)
+    return json_schema.schema_errors(documents, json_col, *keep, catalog=json_schema.Catalog(documents_of(language=language)), only=only)
 
 
 def error_text(errors: DataFrame, *keys: str) -> DataFrame:

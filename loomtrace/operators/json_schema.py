@@ -252,6 +252,11 @@ def fine(found: list) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def searched(pattern: str) -> str:
+    """A pattern whose last dollar also stands before one line feed at the end, and before no other line end."""
+    return pattern[:-1] + r"(?=\n?\z)" if re.search(r"(?<!\\)(\\\\)*\$$", pattern) else pattern
+
+
 def text_of(x: Value) -> Column:
     return F.when(x.part["kind"] == "STRING", F.try_variant_get(x.v, "$", "string"))
 
@@ -350,7 +355,7 @@ class Compiler:
                 among = [true(text_of(x).isin(texts))] if texts else []
                 add(~reduce(lambda a, b: a | b, among + [true(equals(x, v)) for v in values if not isinstance(v, str)], F.lit(False)), k)
         if "pattern" in node:
-            add(~text_of(x).rlike(node["pattern"]), "pattern")
+            add(~text_of(x).rlike(searched(node["pattern"])), "pattern")
         if "minLength" in node:
             add(F.length(text_of(x)) < node["minLength"], "minLength")
         if "maxLength" in node:

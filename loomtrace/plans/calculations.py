@@ -174,14 +174,15 @@ UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.per_unit', CASE WHE
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.loop', 'UNAVAILABLE', NULL, NULL, 1 FROM l""")
 def calculation_runs(spark, sf_dir):
     """Columns of lineitem as inputs: keys decide their ages, flags their qualities."""
-    found = runs.runs(line_inputs(read(spark, sf_dir, "lineitem")), REGISTRY, ["l_orderkey", "l_linenumber", "l_partkey"], "at_ms")
+    found = runs.runs(line_inputs(read(spark, sf_dir, "lineitem"), evidence=False), REGISTRY, ["l_orderkey", "l_linenumber", "l_partkey"], "at_ms", ("equation_id", "status", "reasons", "value", "confidence"))
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "run.equation_id", "run.status", F.round("run.value", 7).alias("value"), F.round("run.confidence", 6).alias("confidence"), F.size("run.reasons").alias("reasons"))
 
 
-def line_inputs(lines):
+def line_inputs(lines, evidence: bool = True):
     quality = F.when(F.col("l_returnflag") == "A", "GOOD").when(F.col("l_returnflag") == "R", "SENSOR_UNVERIFIED").otherwise("STALE")
     at = F.unix_millis(F.col("l_shipdate").cast("timestamp"))
-    one = lambda value, age, q: F.struct(F.col(value).alias("value"), (age % 1000).alias("age_ms"), q.alias("quality"), ids.deterministic_id("sample", F.concat_ws("|", F.lit(value), "l_orderkey", "l_linenumber", "l_partkey"), at).alias("evidence_ref"))
+    ref = lambda value: ids.deterministic_id("sample", F.concat_ws("|", F.lit(value), "l_orderkey", "l_linenumber", "l_partkey"), at) if evidence else F.lit(None).cast("string")
+    one = lambda value, age, q: F.struct(F.col(value).alias("value"), (age % 1000).alias("age_ms"), q.alias("quality"), ref(value).alias("evidence_ref"))
     return lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", at.alias("at_ms"),
         one("l_extendedprice", F.col("l_partkey"), quality).alias("price"), one("l_discount", F.col("l_suppkey"), F.when(F.col("l_linestatus") == "O", "GOOD").otherwise("SENSOR_UNVERIFIED")).alias("discount"),

@@ -98,48 +98,66 @@ def worth(name: Column, table: dict[str, float]) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[name], F.lit(0.0))
 
 
-def run_of(e: Equation, key: list[str], at_ms: Column) -> Column:
-    """The run of one equation over a row, of which each input is a struct (value, age_ms, quality, evidence_ref)."""
+def with_run(rows: DataFrame, e: Equation, name: str, names: dict[str, str], key: list[str], at_ms: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """rows with columns `name`_... for the run of one equation, and its fields made of them.
+
+    Each input is a struct (value, age_ms, quality, evidence_ref), or by names the columns of another run. What
+    is used more than once is a column of its own, in a projection of its own, so nothing is worked out twice.
+    """
     d = e.definition
-    given = {i["name"]: F.col(f"`__run_{e.derived[i["name"]]}`" if i["name"] in e.derived else i["name"]) for i in e.inputs}
-    fresh = {i["name"]: usable(given[i["name"]]["age_ms"], F.lit(i["maximum_age_ms"]), given[i["name"]]["quality"], F.array(*map(F.lit, i["accepted_quality"]))) & given[i["name"]]["value"].isNotNull() for i in e.inputs}
-    all_there = reduce(lambda a, b: a & b, fresh.values())
+    derived = lambda x, part: F.col(f"{names[x]}_{part}")
+    given = {i["name"]: {part: derived(e.derived[i["name"]], part) if i["name"] in e.derived else F.col(i["name"])[part] for part in ("value", "age_ms", "quality", "evidence_ref")} for i in e.inputs}
+    fresh = {i["name"]: F.coalesce(usable(given[i["name"]]["age_ms"], F.lit(i["maximum_age_ms"]), given[i["name"]]["quality"], F.array(*map(F.lit, i["accepted_quality"]))) & given[i["name"]]["value"].isNotNull(), F.lit(False)) for i in e.inputs}
+    rows = rows.withColumns({f"{name}_fresh{k}": c for k, c in enumerate(fresh.values())})
+    fresh = {n: F.col(f"{name}_fresh{k}") for k, n in enumerate(fresh)}
     values, constants = {n: g["value"] for n, g in given.items()}, {c["name"]: c["value"] for c in d.get("constants", [])}
     ast = d["expression"]["ast"]
-    value = F.when(all_there, compile_node(ast, values, constants))
+    rows = rows.withColumn(f"{name}_raw", F.nanvl(F.when(reduce(lambda a, b: a & b, fresh.values()), compile_node(ast, values, constants)), F.lit(None).cast("double")))
+    value = F.col(f"{name}_raw")
     low, high = d["output"].get("minimum"), d["output"].get("maximum")
     outside = reduce(lambda a, b: a | b, ([value < low] if low is not None else []) + ([value > high] if high is not None else []), F.lit(False))
-    status = F.when(value.isNull() | F.isnan(value), UNAVAILABLE).when(outside, OUTSIDE).otherwise(CALCULATED)
-    why = F.filter(F.array(*(F.when(~fresh[n], F.when(given[n].isNull() | given[n]["value"].isNull(), f"{n}: missing").otherwise(f"{n}: too old or of a quality that is not accepted")) for n in given), F.when(all_there & (value.isNull() | F.isnan(value)), "no value"), F.when(outside, "outside of the output's bounds")), lambda x: x.isNotNull())
+    rows = rows.withColumn(f"{name}_status", F.when(value.isNull(), UNAVAILABLE).when(outside, OUTSIDE).otherwise(CALCULATED))
+    status = F.col(f"{name}_status")
+    ranks = F.array(*map(F.lit, QUALITY))
+    worst = F.element_at(ranks, F.array_max(F.array(*(F.array_position(ranks, g["quality"]).cast("int") for g in given.values()))))
+    seed = F.concat_ws("|", *(F.col(k).cast("string") for k in key), F.lit(e.id), F.lit(d["version"]))
+    rows = rows.withColumns(
+        {
+            f"{name}_value": F.when(status == CALCULATED, value),
+            f"{name}_age_ms": F.array_max(F.array(*(g["age_ms"].cast("long") for g in given.values()))),
+            f"{name}_quality": worst,
+            f"{name}_evidence_ref": ids.deterministic_id("calc", seed, at_ms),
+        }
+    )
     rest = {i["name"]: F.when(F.lit(i["maximum_age_ms"]) > 0, F.greatest(F.lit(0.0), 1 - given[i["name"]]["age_ms"] / F.lit(i["maximum_age_ms"]))).otherwise(1.0) for i in e.inputs}
     factors = {
-        "SOURCE_QUALITY": least([worth(given[n]["quality"], QUALITY_WORTH) for n in given]),
-        "FRESHNESS": least([F.coalesce(rest[n], F.lit(0.0)) for n in given]),
-        "COVERAGE": reduce(lambda a, b: a + b, (fresh[n].cast("double") for n in given)) / len(given),
+        "SOURCE_QUALITY": least([worth(g["quality"], QUALITY_WORTH) for g in given.values()]),
+        "FRESHNESS": least([F.coalesce(r, F.lit(0.0)) for r in rest.values()]),
+        "COVERAGE": reduce(lambda a, b: a + b, (f.cast("double") for f in fresh.values())) / len(given),
         "MODEL_VALIDATION": F.lit(VALIDATION_WORTH[d["validation_status"]]),
         "CALIBRATION_QUALITY": F.lit(1.0 if d["validation_status"] == "CALIBRATED" else 0.5),
     }
     used = {k: factors[k] for k in d["confidence_model"]["factors"]}
-    ranks = F.array(*map(F.lit, QUALITY))
-    worst = F.element_at(ranks, F.array_max(F.array(*(F.array_position(ranks, given[n]["quality"]).cast("int") for n in given))))
+    missing = {n: F.when(g["value"].isNull(), f"{n}: missing").otherwise(f"{n}: too old or of a quality that is not accepted") for n, g in given.items()}
+    no_value = F.when(value.isNull() & reduce(lambda a, b: a & b, fresh.values()), "no value")
+    why = F.array(*(F.when(~fresh[n], m) for n, m in missing.items()), no_value, F.when(status == OUTSIDE, "outside of the output's bounds"))
     inner = [a for a in ast.get("arguments", []) if a["kind"] == "operation"]
-    seed = F.concat_ws("|", *(F.col(k).cast("string") for k in key), F.lit(e.id), F.lit(d["version"]))
-    return F.struct(
-        F.lit(e.id).alias("equation_id"),
-        F.lit(d["version"]).alias("version"),
-        status.alias("status"),
-        why.alias("reasons"),
-        F.when(status == CALCULATED, value).alias("value"),
-        F.when(status == CALCULATED, least(list(used.values()))).alias("confidence"),
-        F.create_map(*(x for k, v in used.items() for x in (F.lit(k), v))).alias("factors"),
-        F.array(*(F.struct(F.lit(i["name"]).alias("name"), given[i["name"]]["value"].cast("double").alias("value"), F.lit(i["unit"]).alias("unit"), given[i["name"]]["evidence_ref"].cast("string").alias("evidence_ref"), given[i["name"]]["quality"].alias("quality")) for i in e.inputs)).alias("inputs"),
-        F.array(*(F.struct(F.lit(f"argument_{k}").alias("name"), compile_node(a, values, constants).alias("value"), F.lit("-").alias("unit")) for k, a in enumerate(inner, 1))).cast("array<struct<name:string,value:double,unit:string>>").alias("intermediates"),
-        ids.deterministic_id("calc", seed, at_ms).alias("evidence_ref"),
-        F.array_max(F.array(*(given[n]["age_ms"].cast("long") for n in given))).alias("age_ms"),
-        worst.alias("quality"),
-        F.lit(d["output"]["unit"]).alias("unit"),
-        F.lit(d["output"]["truth_boundary"]).alias("truth_boundary"),
-    )
+    return rows, {
+        "equation_id": F.lit(e.id),
+        "version": F.lit(d["version"]),
+        "status": status,
+        "reasons": F.filter(why, lambda x: x.isNotNull()),
+        "value": F.col(f"{name}_value"),
+        "confidence": F.when(status == CALCULATED, least(list(used.values()))),
+        "factors": F.create_map(*(x for k, v in used.items() for x in (F.lit(k), v))),
+        "inputs": F.array(*(F.struct(F.lit(i["name"]).alias("name"), given[i["name"]]["value"].cast("double").alias("value"), F.lit(i["unit"]).alias("unit"), given[i["name"]]["evidence_ref"].cast("string").alias("evidence_ref"), given[i["name"]]["quality"].alias("quality")) for i in e.inputs)),
+        "intermediates": F.array(*(F.struct(F.lit(f"argument_{k}").alias("name"), compile_node(a, values, constants).alias("value"), F.lit("-").alias("unit")) for k, a in enumerate(inner, 1))),
+        "evidence_ref": F.col(f"{name}_evidence_ref"),
+        "age_ms": F.col(f"{name}_age_ms"),
+        "quality": F.col(f"{name}_quality"),
+        "unit": F.lit(d["output"]["unit"]),
+        "truth_boundary": F.lit(d["output"]["truth_boundary"]),
+    }
 
 
 #: Fields of a run.
@@ -148,24 +166,26 @@ FIELDS = {
     "inputs": "array<struct<name:string,value:double,unit:string,evidence_ref:string,quality:string>>", "intermediates": "array<struct<name:string,value:double,unit:string>>",
     "evidence_ref": "string", "age_ms": "long", "quality": "string", "unit": "string", "truth_boundary": "string",
 }
-RUN = "struct<" + ",".join(f"{n}:{t}" for n, t in FIELDS.items()) + ">"
 
 
-def runs(rows: DataFrame, registry: list[Equation], key: list[str], at_ms: str) -> DataFrame:
+def runs(rows: DataFrame, registry: list[Equation], key: list[str], at_ms: str, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
     """A row (key..., at_ms, run) for each row and equation of the registry, in the order of the plan, then those that can't be worked out.
 
     An input that is an output counts as of its run: its value, the greatest age and the worst quality of
     what it rests on, and the run's id as evidence. A run that isn't calculated is a missing input of others.
+    run has the fields asked for; what none of them needs isn't worked out.
     """
     plan = planned(registry)
-    work = rows
-    for e in plan.order:
-        work = work.withColumn(f"__run_{e.id}", run_of(e, key, F.col(at_ms)).cast(RUN))
-    done = [F.col(f"`__run_{e.id}`") for e in plan.order]
+    work, made, names = rows, [], {}
+    for i, e in enumerate(plan.order):
+        names[e.id] = f"__run{i}"
+        work, found = with_run(work, e, names[e.id], names, key, F.col(at_ms))
+        made.append(found)
     for e in sorted((e for e in registry if e.id in plan.refused), key=lambda e: e.id):
-        given = {"equation_id": F.lit(e.id), "version": F.lit(e.definition["version"]), "status": F.lit(UNAVAILABLE), "reasons": F.array(F.lit(plan.refused[e.id]))}
-        done.append(F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items())))
-    return work.select(*key, at_ms, F.explode(F.array(*done)).alias("run"))
+        made.append({"equation_id": F.lit(e.id), "version": F.lit(e.definition["version"]), "status": F.lit(UNAVAILABLE), "reasons": F.array(F.lit(plan.refused[e.id]))})
+    cells = [x.get(n, F.lit(None)).cast(FIELDS[n]) for x in made for n in fields]
+    each = work.select(*key, at_ms, F.stack(F.lit(len(made)), *cells).alias(*(f"__{n}" for n in fields)))
+    return each.select(*key, at_ms, F.struct(*(F.col(f"__{n}").alias(n) for n in fields)).alias("run"))
 
 
 def documents(found: DataFrame, at_ms: str, vehicle_id: Column, versions: dict[str, str]) -> DataFrame:

@@ -57,7 +57,7 @@ def test_integers(spark):
     assert (got[0], got[1], got[2], int(got[3])) == (0xCF01, 0x01CF, -2, 0xFFFFFFFFFFFFFEFF)
 
 
-@pytest.mark.parametrize(("a", "b", "order"), [("1.0.0-dev.5", "1.0.0", 1), ("1.2", "1.2.0", 0), ("1.10", "1.9", 1), ("0.9", "1", -1)])
+@pytest.mark.parametrize(("a", "b", "order"), [("1.0.0-dev.5", "1.0.0", 1), ("1.2", "1.2.0", 0), ("1.10", "1.9", 1), ("0.9", "1", -1), ("1.0.0-1", "1.0.0", 0), ("1.0.0-dev.5", "1.0.0.3", 1), ("1..2", "1.2", 0), ("99999999999", "2", 1), ("1." + "9" * 60, "1.5", 1), ("x.1", "0.1", 0)])
 def test_versions(spark, a, b, order):
     assert spark.range(1).select(binary.compare_versions(F.lit(a), F.lit(b))).first()[0] == order
 
@@ -123,3 +123,58 @@ def test_crc32c_of_many():
     data = [rng.randbytes(rng.randrange(60)) for _ in range(200)] + [b"", b"123456789"]
     assert binary.crc32c_all(data).tolist() == [binary.crc32c(x) for x in data]
     assert binary.crc32c_all([]).tolist() == []
+
+
+def one_by_one(pieces, magic=frames.MAGIC):
+    """A session's chunks through the decoder one call after another."""
+    out, session = [], frames.Session()
+    for arrival, piece in pieces:
+        session.arrivals, session.chunks = [arrival], [piece]
+        out += frames.decoded({"s": session}, magic).values.tolist()
+    return out
+
+
+def test_decoding_at_once_is_decoding_by_chunk():
+    """Broken and whole frames cut anywhere: all chunks at once, in batches, and one by one give the same rows."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(120):
+        data = b""
+        for i in range(rng.randrange(1, 12)):
+            frame = bytearray(frames.encode_frame(rng.randrange(1, 11), i, i * 10, bytes(rng.randrange(256) for _ in range(rng.randrange(40)))))
+            if rng.random() < 0.12:
+                frame[rng.choice([0, 4, 6, 11, 33, len(frame) - 1])] ^= rng.choice([1, 255])
+            data += bytes(frame)
+        cuts = sorted({0, len(data), *(rng.randrange(len(data)) for _ in range(rng.randrange(12)))})
+        pieces = [(k, data[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        expected = one_by_one(pieces)
+        for size in (1000, 3):
+            session, got = frames.Session(), []
+            for k in range(0, len(pieces), size):
+                session.arrivals, session.chunks = [p[0] for p in pieces[k : k + size]], [p[1] for p in pieces[k : k + size]]
+                got += frames.decoded({"s": session}, frames.MAGIC).values.tolist()
+            assert repr(got) == repr(expected)
+    other = frames.encode_frame(2, 1, 1, b"x", magic=b"ABCD")
+    assert one_by_one([(0, other)])[0][-1] == "invalid magic" and one_by_one([(0, other)], b"ABCD")[0][-1] is None
+
+
+def test_canonical_json(spark):
+    import json
+
+    from loomtrace.functions.canonical import canonical_json
+
+    values = [(1.0e-5, "é", 1), (123456789.25, "日本 🙂", 2), (0.5, 'a"\\\n\u0001\x7f', 3), (1e22, "plain", 4), (None, None, 5), (-0.0, "/", 6)]
+    df = spark.createDataFrame(values, "b double, a string, c long")
+    got = {r.c: r.j for r in df.select("c", canonical_json(df).alias("j")).collect()}
+    for b, a, c in values:
+        assert got[c] == json.dumps({k: v for k, v in (("a", a), ("b", b), ("c", c)) if v is not None}, separators=(",", ":"))
+
+
+def test_ids_end_where_they_end(spark):
+    from loomtrace.functions import ids
+
+    good = "obs_" + "0" * 26
+    rows = spark.createDataFrame([(good, True), (good + "\n", False), (good + "\r", False), ("x" + good[3:], False)], "i string, ok boolean")
+    assert rows.where(ids.is_domain_id(F.col("i"), "obs") != F.col("ok")).count() == 0
+    assert rows.where("i LIKE 'obs%'").where(ids.id_timestamp_ms(F.col("i")).isNotNull() != F.col("ok")).count() == 0
