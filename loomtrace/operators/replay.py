@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +66,40 @@ def decode(observations: DataFrame) -> DataFrame:
 
 
 def ordered_digest(df: DataFrame, key: str, order: list[str], line: Column) -> DataFrame:
-    """By key the SHA-256 of its lines in order, each ended by a line feed. A key's lines are gathered: they must fit one row."""
-    lines = F.sort_array(F.collect_list(F.struct(*order, line.alias("__line"))))
-    text = F.concat(F.array_join(F.transform(lines, lambda x: x["__line"]), "\n"), F.lit("\n"))
-    return df.groupBy(key).agg(F.sha2(text, 256).alias("digest"), F.count(F.lit(1)).alias("records"))
+    """By key the SHA-256 of its lines in order, each ended by a line feed, and their number; null lines are counted only.
+
+    Lines stream through the tasks sorted by key and order, into a running hash: none are gathered. A hash
+    can't be worked out in parts, so a key is one task's work, but no task's memory.
+    """
+    rows = df.select(F.col(key).alias("key"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), line.alias("line"))
+    columns = ["key", *(f"o{i}" for i in range(len(order))), "line"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, hashed, records, last = [], None, 0, None
+        for b in batches:
+            keys, lines = b.column("key").to_pylist(), b.column("line").to_pylist()
+            for k, own in groupby(range(len(keys)), keys.__getitem__):
+                if hashed is None or k != last:
+                    if hashed is not None:
+                        done.append((last, hashed.hexdigest(), records))
+                    hashed, records, last = hashlib.sha256(), 0, k
+                for i in own:
+                    records += 1
+                    if lines[i] is not None:
+                        hashed.update(lines[i].encode() + b"\n")
+            kind = b.schema.field("key").type
+            if done:
+                yield digests(done, kind)
+                done = []
+        if hashed is not None:
+            yield digests([(last, hashed.hexdigest(), records)], kind)
+
+    spread = rows.repartition("key").sortWithinPartitions(*columns).select("key", "line")
+    return spread.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, digest string, records long").select(F.col("key").alias(key), "digest", "records")
+
+
+def digests(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["key", "digest", "records"])
 
 
 def replay(observations: DataFrame) -> DataFrame:

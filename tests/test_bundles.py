@@ -147,3 +147,27 @@ def test_replay_file(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 68
     with pytest.raises(bundles.BundleError, match="exists"):
         bundles.write_replay(samples, str(tmp_path / "out"))
+
+
+def test_one_digest_however_many_segments(spark, tmp_path):
+    """The capture's digest is that of its lines, whether they are in one segment or in several."""
+    rows = scenario.cold_start(spark)
+    one = bundles.write_bundle(rows, f"{tmp_path}/one")
+    several = bundles.write_bundle(rows, f"{tmp_path}/several", segment_rows=6)
+    assert len(one["segments"]) == 1 and len(several["segments"]) > 2
+    assert one["semantic_digest"] == several["semantic_digest"] == SEGMENT
+    back = [bundles.load_bundle(spark, f"{tmp_path}/{n}")[1].drop("segment_no", "segment", "line_no") for n in ("one", "several")]
+    assert back[0].exceptAll(back[1]).isEmpty() and back[1].exceptAll(back[0]).isEmpty()
+
+
+def test_digest_streams(spark):
+    """Keys over many batches, a null key, null lines and letters beyond ASCII; the plan gathers nothing."""
+    lines = [(k, i, None if i % 7 == 3 else f"línea {k} {i}") for k in ("a", "b", None) for i in range(3000 if k == "a" else 5)]
+    df = spark.createDataFrame(lines, "k string, i long, line string").repartition(5)
+    out = replay.ordered_digest(df, "k", ["i"], F.col("line"))
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: (r.digest, r.records) for r in out.collect()}
+    for k in ("a", "b", None):
+        own = [x for x in lines if x[0] == k]
+        assert got[k] == (hashlib.sha256("".join(f"{x[2]}\n" for x in own if x[2] is not None).encode()).hexdigest(), len(own))
+    assert replay.ordered_digest(df.limit(0), "k", ["i"], F.col("line")).collect() == []
