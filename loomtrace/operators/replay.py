@@ -66,12 +66,17 @@ def decode(observations: DataFrame) -> DataFrame:
 
 
 def ordered_digest(df: DataFrame, key: str, order: list[str], line: Column) -> DataFrame:
-    """By key the SHA-256 of its lines in order, each ended by a line feed, and their number; null lines are counted only.
+    """By key the SHA-256 of its lines in order, each ended by a line feed, and their number; null lines are counted only."""
+    return running_digest(df, key, order, F.concat(line.cast("string").cast("binary"), F.lit(b"\n")))
 
-    Lines stream through the tasks sorted by key and order, into a running hash: none are gathered. A hash
+
+def running_digest(df: DataFrame, key: str, order: list[str], data: Column) -> DataFrame:
+    """By key the SHA-256 of its bytes in order, and the number of rows; null ones are counted only.
+
+    Rows stream through the tasks sorted by key and order, into a running hash: none are gathered. A hash
     can't be worked out in parts, so a key is one task's work, but no task's memory.
     """
-    rows = df.select(F.col(key).alias("key"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), line.alias("line"))
+    rows = df.select(F.col(key).alias("key"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), data.alias("line"))
     columns = ["key", *(f"o{i}" for i in range(len(order))), "line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +91,7 @@ def ordered_digest(df: DataFrame, key: str, order: list[str], line: Column) -> D
                 for i in own:
                     records += 1
                     if lines[i] is not None:
-                        hashed.update(lines[i].encode() + b"\n")
+                        hashed.update(lines[i])
             kind = b.schema.field("key").type
             if done:
                 yield digests(done, kind)

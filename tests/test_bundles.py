@@ -171,3 +171,33 @@ def test_digest_streams(spark):
         own = [x for x in lines if x[0] == k]
         assert got[k] == (hashlib.sha256("".join(f"{x[2]}\n" for x in own if x[2] is not None).encode()).hexdigest(), len(own))
     assert replay.ordered_digest(df.limit(0), "k", ["i"], F.col("line")).collect() == []
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+@pytest.mark.parametrize("closed", [True, False])
+def test_segments_read_in_splits(spark, tmp_path, end, closed):
+    """A segment cut into many splits at any byte, with every line end, in a folder with a space: numbers, lines, bytes and hash are those of the whole."""
+    folder = tmp_path / "a b"
+    manifest = bundles.write_bundle(scenario.cold_start(spark), f"{folder}")
+    file = folder / "observations.ndjson"
+    plain = file.read_text().splitlines()
+    lines = [x for i in range(8) for x in (*plain, "", f"é {i}")]
+    data = (end.join(lines) + (end if closed else "")).encode()
+    file.write_bytes(data)
+    (folder / ".observations.ndjson.crc").unlink(missing_ok=True)
+    manifest["segments"][0] |= {"sha256": hashlib.sha256(data).hexdigest(), "byte_count": len(data), "record_count": len(lines)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        segments = bundles.segment_table(spark, f"{folder}", manifest)
+        got = bundles.observation_lines(spark, segments)
+        assert spark.read.text(f"{folder}/observations.ndjson").rdd.getNumPartitions() > 8
+        assert [(r.line_no, r.position, r.line) for r in got.orderBy("position").collect()] == [(i + 1, i, x) for i, x in enumerate(lines)]
+        assert bundles.segment_errors(spark, segments, got).collect() == []
+        manifest["segments"][0] |= {"sha256": "0" * 64, "byte_count": 1, "record_count": 2}
+        wrong = bundles.segment_errors(spark, bundles.segment_table(spark, f"{folder}", manifest), got).collect()
+        assert {r.code for r in wrong} == {"segment_bytes", "segment_hash", "segment_lines"} and hashlib.sha256(data).hexdigest() in next(r.message for r in wrong if r.code == "segment_hash")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
