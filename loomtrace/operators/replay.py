@@ -99,7 +99,8 @@ def running_digest(df: DataFrame, key: str, order: list[str], data: Column) -> D
         if hashed is not None:
             yield digests([(last, hashed.hexdigest(), records)], kind)
 
-    spread = rows.repartition("key").sortWithinPartitions(*columns).select("key", "line")
+    # By a hash of the key: a shuffle by the key itself is left out above a join on it, which may then be planned anew without one.
+    spread = rows.repartition(F.xxhash64("key")).sortWithinPartitions(*columns).select("key", "line")
     return spread.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, digest string, records long").select(F.col("key").alias(key), "digest", "records")
 
 

@@ -152,7 +152,8 @@ def reassemble_batch(chunks: DataFrame, magic: bytes = MAGIC) -> DataFrame:
             yield decoded(sessions, magic)
 
     spread = chunks.select("session_id", "arrival_idx", "chunk").where("session_id IS NOT NULL")
-    return spread.repartition("session_id").sortWithinPartitions("session_id", "arrival_idx").mapInPandas(run, FRAME)
+    # By a hash of the name: a shuffle by the name itself is left out above a join on it, which may then be planned anew without one.
+    return spread.repartition(F.xxhash64("session_id")).sortWithinPartitions("session_id", "arrival_idx").mapInPandas(run, FRAME)
 
 
 def of_channels(notifications: DataFrame, channels: tuple[str, ...] = FRAME_CHANNELS) -> DataFrame:

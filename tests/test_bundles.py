@@ -201,3 +201,13 @@ def test_segments_read_in_splits(spark, tmp_path, end, closed):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_digest_above_a_join(spark):
+    """A join on the key below, of which one side turns out small, doesn't spread a key over tasks."""
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("k"), "id", F.concat(F.lit("line "), "id").alias("line")).repartition(6)
+    few = rows.groupBy("k").agg(F.max("id").alias("last"))
+    out = replay.ordered_digest(rows.join(few, "k").where("id <= last"), "k", ["id"], F.col("line")).collect()
+    for r in out:
+        assert r.digest == hashlib.sha256("".join(f"line {i}\n" for i in range(r.k, 60_000, 2)).encode()).hexdigest()
+    assert {(r.k, r.records) for r in out} == {(0, 30_000), (1, 30_000)} and len(out) == 2
