@@ -167,15 +167,15 @@ n AS (SELECT *, CASE WHEN price_age <= 950 AND discount_age <= 1000 AND discount
 t AS (SELECT *, CASE WHEN net IS NOT NULL AND net_age <= 800 AND tax_age <= 1000 THEN net * (1 + tax) END AS taxed, greatest(net_age, tax_age) AS taxed_age FROM n),
 u AS (SELECT *, CASE WHEN taxed IS NOT NULL AND taxed_age <= 900 AND net_rank < 3 AND quantity_age <= 700 THEN taxed / quantity END AS per_unit FROM t),
 w AS (SELECT *, [1.0, 0.6, 0.3][net_rank] AS net_worth FROM u)
-SELECT l_orderkey, l_linenumber, l_partkey, 'order.net' AS equation_id, CASE WHEN net IS NULL THEN 'UNAVAILABLE' ELSE 'CALCULATED' END AS status, round(net, 7) AS value, CASE WHEN net IS NOT NULL THEN round(least(net_worth, 1 - price_age / 950, 1 - discount_age / 1000, 0.75), 6) END AS confidence, (CASE WHEN price_age <= 950 THEN 0 ELSE 1 END + CASE WHEN discount_age <= 1000 AND discount_rank = 1 THEN 0 ELSE 1 END)::INT AS reasons FROM w
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.taxed', CASE WHEN taxed IS NULL THEN 'UNAVAILABLE' ELSE 'CALCULATED' END, round(taxed, 7), CASE WHEN taxed IS NOT NULL THEN round(least(net_worth, 1 - net_age / 800, 1 - tax_age / 1000), 6) END, CASE WHEN taxed IS NULL THEN 1 ELSE 0 END FROM w
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.per_unit', CASE WHEN per_unit IS NULL THEN 'UNAVAILABLE' WHEN per_unit > 2500 THEN 'OUT_OF_RANGE' ELSE 'CALCULATED' END, CASE WHEN per_unit <= 2500 THEN round(per_unit, 7) END, CASE WHEN per_unit <= 2500 THEN round(least(net_worth, 1 - taxed_age / 900, 1 - quantity_age / 700, 0.75), 6) END,
+SELECT l_orderkey, l_linenumber, l_partkey, 'order.net' AS equation_id, CASE WHEN net IS NULL THEN 'UNAVAILABLE' ELSE 'CALCULATED' END AS status, net AS value, CASE WHEN net IS NOT NULL THEN least(net_worth, 1 - price_age / 950, 1 - discount_age / 1000, 0.75) END AS confidence, (CASE WHEN price_age <= 950 THEN 0 ELSE 1 END + CASE WHEN discount_age <= 1000 AND discount_rank = 1 THEN 0 ELSE 1 END)::INT AS reasons FROM w
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.taxed', CASE WHEN taxed IS NULL THEN 'UNAVAILABLE' ELSE 'CALCULATED' END, taxed, CASE WHEN taxed IS NOT NULL THEN least(net_worth, 1 - net_age / 800, 1 - tax_age / 1000) END, CASE WHEN taxed IS NULL THEN 1 ELSE 0 END FROM w
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.per_unit', CASE WHEN per_unit IS NULL THEN 'UNAVAILABLE' WHEN per_unit > 2500 THEN 'OUT_OF_RANGE' ELSE 'CALCULATED' END, CASE WHEN per_unit <= 2500 THEN per_unit END, CASE WHEN per_unit <= 2500 THEN least(net_worth, 1 - taxed_age / 900, 1 - quantity_age / 700, 0.75) END,
   (CASE WHEN taxed IS NOT NULL AND taxed_age <= 900 AND net_rank < 3 THEN 0 ELSE 1 END + CASE WHEN quantity_age <= 700 THEN 0 ELSE 1 END + CASE WHEN per_unit > 2500 THEN 1 ELSE 0 END)::INT FROM w
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order.loop', 'UNAVAILABLE', NULL, NULL, 1 FROM l""")
 def calculation_runs(spark, sf_dir):
     """Columns of lineitem as inputs: keys decide their ages, flags their qualities."""
     found = runs.runs(line_inputs(read(spark, sf_dir, "lineitem"), evidence=False), REGISTRY, ["l_orderkey", "l_linenumber", "l_partkey"], "at_ms", ("equation_id", "status", "reasons", "value", "confidence"))
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "run.equation_id", "run.status", F.round("run.value", 7).alias("value"), F.round("run.confidence", 6).alias("confidence"), F.size("run.reasons").alias("reasons"))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "run.equation_id", "run.status", "run.value", "run.confidence", F.size("run.reasons").alias("reasons"))
 
 
 def line_inputs(lines, evidence: bool = True):
