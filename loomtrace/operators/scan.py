@@ -25,8 +25,8 @@ def together(kind: str, before: Column, own: Column) -> Column:
     return F.when(own.isNull() & before.isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0)))
 
 
-def carried(df: DataFrame, key: list[str], order: list[str], states: dict[str, tuple[str, Column]]) -> DataFrame:
-    """df with a column for each state: the last value that isn't null, the greatest or the sum, over the key's rows up to and with this one.
+def carried(df: DataFrame, key: list[str], order: list[str], states: dict[str, tuple[str, Column]], with_own: bool = True) -> DataFrame:
+    """df with a column for each state: the last value that isn't null, the greatest or the sum, over the key's rows up to and with (or without) this one.
 
     order must tell rows of a key apart for the result to be the same in each run. Rows without key columns are one run.
     Null keys are a key like any other.
@@ -54,7 +54,7 @@ def carried(df: DataFrame, key: list[str], order: list[str], states: dict[str, t
     over_all = {n: {LAST: lambda c: F.last(c, ignorenulls=True), MOST: F.max, SUM: F.sum}[kind] for n, (kind, _) in states.items()}
     carry = saved(left.select(F.col("__part").alias("of_part"), "of_key", *(over_all[n](F.col(n)).over(before).alias(f"__before_{n}") for n in states)), "scan-carry")
 
-    w = Window.partitionBy("__part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("__part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if with_own else -1)
     scanned = kept.withColumns({f"__own_{n}": over_all[n](F.col(inputs[n])).over(w) for n in states})
     joined = scanned.join(F.broadcast(carry), both, "left")
     return joined.select(*df.columns, *(together(kind, F.col(f"__before_{n}"), F.col(f"__own_{n}")).alias(n) for n, (kind, _) in states.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.functions import ids
-from loomtrace.operators import alignment, json_schema, ranges
+from loomtrace.operators import alignment, json_schema, ranges, series
 from loomtrace.plans import runs, stages
 from loomtrace.plans.catalogue import micros, query, read
 
@@ -188,3 +188,34 @@ def line_inputs(lines, evidence: bool = True):
         one("l_extendedprice", F.col("l_partkey"), quality).alias("price"), one("l_discount", F.col("l_suppkey"), F.when(F.col("l_linestatus") == "O", "GOOD").otherwise("SENSOR_UNVERIFIED")).alias("discount"),
         one("l_tax", F.col("l_orderkey"), F.lit("GOOD")).alias("tax"), one("l_quantity", F.col("l_partkey") + F.col("l_suppkey"), F.lit("GOOD")).alias("quantity"),
     )
+
+
+DAY = 86_400_000_000
+
+
+@query(f"""
+SELECT user_id, (epoch_us(ts) // {DAY})::BIGINT AS bucket, count(*) AS n, min(value) AS least, max(value) AS most, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+GROUP BY ALL""".replace("arg_min(value, event_id)", "arg_min(value, k)").replace("arg_max(value, event_id)", "arg_max(value, k)"))
+def series_buckets(spark, sf_dir):
+    return series.buckets(event_points(spark, sf_dir), "user_id", "at", "event_id", "value", DAY).drop("mean", "mean_at")
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value AS v, epoch_us(ts) // {DAY} AS b FROM events),
+m AS (SELECT user_id, b, avg(v) AS v, avg(t) AS t FROM e GROUP BY ALL),
+w AS (SELECT user_id, b, coalesce(lag(v) OVER w, v) AS pv, coalesce(lag(t) OVER w, t) AS pt, coalesce(lead(v) OVER w, v) AS nv, coalesce(lead(t) OVER w, t) AS nt FROM m WINDOW w AS (PARTITION BY user_id ORDER BY b))
+SELECT user_id, b::BIGINT AS bucket, arg_max(event_id, {{a: round(abs((pt - nt) * (v - pv) - (pt - t) * (nv - pv)) / 1e6, 1), t: t, i: event_id}}) AS event_id FROM e JOIN w USING (user_id, b) GROUP BY ALL""")
+def series_points(spark, sf_dir):
+    return series.telling_points(event_points(spark, sf_dir), "user_id", "at", "event_id", "value", DAY).select("user_id", "bucket", "event_id")
+
+
+def event_points(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("user_id", "event_id", micros("ts").alias("at"), "value")
+
+
+@query("""
+WITH p AS (SELECT user_id, event_id, epoch_us(ts) AS t, value, lag(value) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(CASE WHEN pv IS NULL OR abs(value - pv) > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM p)
+SELECT user_id, run::BIGINT AS run, count(*) AS n, min(t) AS start, max(t) AS "end", min(value) AS least, max(value) AS most FROM r GROUP BY user_id, run HAVING count(*) >= 3""")
+def stuck_runs(spark, sf_dir):
+    return series.stuck_runs(event_points(spark, sf_dir), "user_id", "at", "event_id", "value", tolerance=40, least_rows=3)

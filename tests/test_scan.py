@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace.operators import alignment, ranges, scan
+from loomtrace.operators import alignment, ranges, scan, series
 
 
 def test_carried(spark):
@@ -91,3 +91,32 @@ def test_aligned_inputs(spark):
     assert got == expected and sum(x[1] is not None for x in got) > 30
     assert alignment.aligned(rf.limit(0), sf, "user", "t", inputs, "evidence_ref").collect() == []
     assert alignment.aligned(rf, sf.limit(0), "user", "t", inputs, "evidence_ref").where("x IS NOT NULL").count() == 0
+
+
+def test_stuck_runs(spark):
+    """A key with most rows goes over all partitions, one of its runs over several; ties, null values and times."""
+    rng = random.Random(9)
+    rows = [(1, i, rng.choice([i, i - i % 3]), 7.0 if 200 < i < 900 else rng.choice([None, 1.0, 1.5, 9.0])) for i in range(1200)] + [(rng.choice([2, None]), i, rng.choice([None, i]), rng.choice([1.0, 5.0])) for i in range(60)]
+    expected = set()
+    for key in (1, 2, None):
+        before, runs = None, []
+        for k, i, t, v in sorted((r for r in rows if r[0] == key and r[2] is not None and r[3] is not None), key=lambda r: (r[2], r[1])):
+            if before is None or abs(v - before) > 0.6:
+                runs.append([])
+            runs[-1].append((t, v))
+            before = v
+        expected |= {(key, n, len(r), r[0][0], r[-1][0], min(v for _, v in r), max(v for _, v in r)) for n, r in enumerate(runs, 1) if len(r) >= 2}
+    df = spark.createDataFrame(rows, "k long, i long, at long, v double").repartition(5)
+    got = {tuple(r) for r in series.stuck_runs(df, "k", "at", "i", "v", 0.6, 2).collect()}
+    assert got == expected and max(n for _, _, n, *_ in got) >= 699
+
+
+def test_telling_points(spark):
+    """A spike in each bucket is the point that stays; buckets of one row, an empty table."""
+    rows = [("a", i, i * 10_000_000, 50.0 if i % 10 == 3 else float(i % 2)) for i in range(100)] + [("b", 0, 5, 1.0)]
+    df = spark.createDataFrame(rows, "k string, i long, at long, v double")
+    got = {(r.k, r.bucket): (r.i, r.v) for r in series.telling_points(df, "k", "at", "i", "v", 100_000_000).collect()}
+    assert got == {("b", 0): (0, 1.0)} | {("a", b): (b * 10 + 3, 50.0) for b in range(10)}
+    assert series.telling_points(df.limit(0), "k", "at", "i", "v", 100_000_000).collect() == []
+    bucket = next(r for r in series.buckets(df, "k", "at", "i", "v", 100_000_000).collect() if r.k == "a" and r.bucket == 2)
+    assert (bucket.n, bucket.least, bucket.most, bucket.first, bucket.last) == (10, 0.0, 50.0, 0.0, 1.0)
