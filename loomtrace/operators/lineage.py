@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.functions.canonical import canonical_json
-from loomtrace.sources.scratch import saved
+from loomtrace.sources.scratch import dropped, saved
 
 # What an agent that reads evidence may do.
 AUTHORITY = {"may_activate_vehicle_experiment": False, "may_emit_raw_vehicle_frames": False, "may_interpret_evidence": True, "may_propose_signed_experiment_plans": True, "may_rank_hypotheses": True}
@@ -33,7 +33,9 @@ def recalculation_roots(runs: DataFrame, id_col: str = "calculation_id", parent_
             break
         left = open_runs
         nxt = at.select(F.col("id").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("done").alias("up_done"))
+        before = at
         at = saved(at.join(nxt, "root").select("id", F.col("up").alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("depth"), (F.col("done") | F.col("up_done")).alias("done")), "lineage")
+        dropped(before)
     return at.select("id", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
