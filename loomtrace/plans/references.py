@@ -1,12 +1,19 @@
-"""Queries over references between documents: customers as findings, orders as runs, lines as samples, parts and suppliers as what was observed."""
+"""Queries over references between documents and over captures as a data source.
+
+Customers are findings, orders runs, lines samples, parts and suppliers what was observed; events are a capture.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.operators import closure
+from loomtrace.plans import evidence
 from loomtrace.plans.catalogue import query, read
+from loomtrace.sources import capture_format, scratch
 
 
 def named(kind: str, *columns: str):
@@ -68,3 +75,14 @@ def sample_observations(spark, sf_dir):
     held = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
     rows = closure.with_observations(samples, held, "o_orderkey", "o_orderstatus", "o_orderdate")
     return rows.select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_quantity", "o_orderstatus", F.datediff("l_shipdate", "o_orderdate").cast("long").alias("age_days"), "orphan")
+
+
+@query("""
+WITH v AS (SELECT event_id AS sequence, unnest([1, 2, 3, 4]) AS k, (unnest([round_even(value * 10 * 4, 0), round_even(value * 10, 0), round_even((value - 40) * 10, 0), round_even(value / 10 * 1000, 0)])::BIGINT % 65536 + 65536) % 65536 AS u FROM events)
+SELECT sequence, sequence * 1000 AS observed_at_monotonic_us, string_agg(lpad(lower(printf('%x', u)), 4, '0'), '' ORDER BY k) AS data FROM v GROUP BY sequence""")
+def capture_round_trip(spark, sf_dir):
+    """Events as a capture, written and read through the data source, three columns of each line."""
+    folder = f"{scratch.shared_dir(spark)}/capture-{uuid.uuid4().hex}"
+    capture_format.save_capture(evidence.observations(spark, sf_dir), folder)
+    rows = spark.read.format("capture").schema("sequence long, observed_at_monotonic_us long, payload struct<data: string>").load(folder)
+    return rows.select("sequence", "observed_at_monotonic_us", F.col("payload.data").alias("data"))
