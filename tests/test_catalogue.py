@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from loomtrace.plans import calculations, catalogue, evidence, references  # noqa: F401
+from loomtrace.plans import calculations, catalogue, evidence, references, streams  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
