@@ -21,6 +21,8 @@ from .common import named, saved, shared_dir, table, text_of
 
 PIECE = 1 << 16
 ARCHIVE_BYTES = 64 << 20
+#: Bytes of a record's head beside its url; a reader that isn't told the longest head allows this and a megabyte.
+HEAD = 4096
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 
@@ -79,8 +81,10 @@ class Stream:
                 return True
         return False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.out.find(mark)) < 0:
+    def until(self, mark: bytes, most: int) -> bytes:
+        seen = 0
+        while (at := self.out.find(mark, seen)) < 0:
+            seen = max(0, len(self.out) - len(mark) + 1)
             if len(self.out) > most or not self.more():
                 raise ValueError("record head without an end")
         got, self.out = self.out[:at], self.out[at + len(mark) :]
@@ -99,16 +103,16 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
-def read_archive(source, keep_payload: bool = False) -> Iterator[dict]:
-    """Records of an archive, given as a file object, in order. Raises ValueError on broken framing or a wrong digest."""
+def read_archive(source, keep_payload: bool = False, most: int = HEAD + (1 << 20)) -> Iterator[dict]:
+    """Records of an archive, given as a file object, in order, heads of some `most` bytes at most. Raises ValueError on broken framing or a wrong digest."""
     s = Stream(source)
     while s.start():
-        head = fields(s.until(b"\r\n\r\n"))
+        head = fields(s.until(b"\r\n\r\n", most))
         left = int(head["content-length"])
         kind, block, payload, kept = head["warc-type"], hashlib.sha1(), hashlib.sha1(), []
         http: dict[str, str] = {}
         if kind in ("response", "revisit"):
-            top = s.until(b"\r\n\r\n")
+            top = s.until(b"\r\n\r\n", most)
             http = fields(top)
             block.update(top + b"\r\n\r\n")
             left -= len(top) + 4
@@ -139,7 +143,7 @@ def read_archive(source, keep_payload: bool = False) -> Iterator[dict]:
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Write a record per row into archives in `folder` and return their list: path, n_records, n_bytes.
+    """Write a record per row into archives in `folder` and return their list: path, n_records, n_bytes, head_bytes (none of its heads is longer).
 
     Null html is an empty payload; null urls get a placeholder. Of rows with equal payloads of at least
     `least_bytes` bytes one of the smallest page id is the response and the others revisit it, further rows
@@ -164,24 +168,24 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        out, path, n, size = None, "", 0, 0
+        out, path, n, size, head = None, "", 0, 0, HEAD
         for b in batches:
             for name, url, html, first in zip(b["name"], b["url"], b["html"], b["refers_to"], strict=True):
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    out, n = store.open_output_stream(path, compression=None), 0
+                    out, n, head = store.open_output_stream(path, compression=None), 0, HEAD
                     size = out.write(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                 size += out.write(page_member(name, url, html.encode("utf-8"), None if pd.isna(first) else first))
-                n += 1
+                n, head = n + 1, max(head, HEAD + len(f"{url}{name}{first}".encode()))
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     out = None
-                    yield pd.DataFrame({"path": [path], "n_records": [n], "n_bytes": [size]})
+                    yield pd.DataFrame({"path": [path], "n_records": [n], "n_bytes": [size], "head_bytes": [head]})
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [path], "n_records": [n], "n_bytes": [size]})
+            yield pd.DataFrame({"path": [path], "n_records": [n], "n_bytes": [size], "head_bytes": [head]})
 
-    return saved(linked.mapInPandas(write, "path string, n_records long, n_bytes long"), "archives")
+    return saved(linked.mapInPandas(write, "path string, n_records long, n_bytes long, head_bytes long"), "archives")
 
 
 def read_warc(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -193,10 +197,10 @@ def read_warc(archives: DataFrame, folder: str, payloads: bool = False) -> DataF
 
         store, _ = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for path in b["path"]:
+            for path, most in zip(b["path"], b["head_bytes"], strict=True):
                 rows, size = [], 0
                 with store.open_input_stream(path, compression=None) as source:
-                    for r in read_archive(source, payloads):
+                    for r in read_archive(source, payloads, most):
                         if r["record_type"] == "warcinfo":
                             continue
                         rows.append(r)
@@ -207,7 +211,7 @@ def read_warc(archives: DataFrame, folder: str, payloads: bool = False) -> DataF
                 if rows:
                     yield pd.DataFrame(rows)
 
-    spread = archives.select("path").repartition(max(1, archives.count()))
+    spread = archives.select("path", "head_bytes").repartition(max(1, archives.count()))
     return spread.mapInPandas(read, schema)
 
 

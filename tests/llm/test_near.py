@@ -1,5 +1,7 @@
 """Near duplicates, repeated substrings, passages, leaks, toxicity and WARC against brute force."""
 
+import gzip
+import io
 import hashlib
 import random
 import zlib
@@ -336,6 +338,17 @@ def test_warc_of_odd_ids(spark, tmp_path):
     assert len({r.record_id for r in got}) == 7
 
 
+def test_warc_of_long_urls(spark, tmp_path):
+    """A url of any length is a head that the reader takes; a head without an end is still an error."""
+    rows = [(1, "u" * 2_500_000, "one"), (2, "é" * 900_000, "two"), (3, "u3", "one")]
+    folder = f"file://{tmp_path}/w"
+    archives = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), folder)
+    got = {r.record_id.rsplit(":", 1)[1]: r for r in warc.read_warc(archives, folder).collect()}
+    assert [(k, got[k].record_type, got[k].uri == u) for k, (_, u, _) in zip("123", rows, strict=True)] == [("1", "response", True), ("2", "response", True), ("3", "revisit", True)]
+    with pytest.raises(ValueError, match="without an end"):
+        list(warc.read_archive(io.BytesIO(gzip.compress(b"x" * 3_000_000))))
+
+
 def test_tiles_of_an_alignment(monkeypatch):
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 30, 12), rng.integers(0, 30, 400)
@@ -356,12 +369,8 @@ def test_suffix_dedup_of_odd_ids(spark):
 
 
 def test_broken_archives():
-    import io
-
     good = warc.page_member(1, "u", b"payload", None) + warc.page_member(2, "u", b"more" * 1000, None)
     assert [r["payload_bytes"] for r in warc.read_archive(io.BytesIO(good))] == [7, 4000]
-    import gzip
-
     plain = gzip.decompress(warc.page_member(1, "u", b"payload", None))
     for bad in (good[:-9], gzip.compress(plain.replace(b"payload\r", b"paylaod\r")), gzip.compress(plain[:-6] + b"\r\n\r\n"), gzip.compress(plain + b"x")):
         with pytest.raises((ValueError, zlib.error)):
