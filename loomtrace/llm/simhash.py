@@ -104,7 +104,11 @@ def keys(fp: np.ndarray, golay: Golay) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def close_pairs(fps: DataFrame) -> DataFrame:
-    """(a, b) of distinct fingerprints fp that differ in one to four bits, each pair once."""
+    """(a, b) of distinct fingerprints fp that differ in one to four bits, each pair once.
+
+    A fingerprint has over a hundred keys, which Spark's estimate of a side's size doesn't see: without the
+    hint it would broadcast them, through the driver.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         golay = Golay()
@@ -117,7 +121,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
 
     rows = fps.select("fp").mapInPandas(run, "key long, fp long, left boolean, right boolean")
     left, right = rows.where("left").select("key", F.col("fp").alias("a")), rows.where("right").select("key", F.col("fp").alias("b"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= ERRORS)).select("a", "b").distinct()
+    return left.join(right.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= ERRORS)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

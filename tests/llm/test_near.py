@@ -81,6 +81,14 @@ def test_golay_keys_miss_nothing():
         assert all(a & b for a, b in zip(left, right, strict=True))
 
 
+def test_keys_of_fingerprints_are_never_broadcast(spark, tmp_path, capsys):
+    """The keys of a table far below the broadcast threshold are a hundred times as many: they must not go through the driver."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fps")
+    simhash.close_pairs(spark.read.parquet(f"{tmp_path}/fps")).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def removed(rows, length):
     seen = {}
     for _, t in rows:
