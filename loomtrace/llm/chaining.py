@@ -6,7 +6,8 @@
    shorter than that make no key, and an exact passage of 50 words makes one for certain.
 3. Texts that have a key are joined: all of them where they are few, else each with the first and the last.
    Where that leaves texts of a key apart, the key takes one more seed before or after it and the texts that
-   have the same are joined again, so texts that share more than a frequent part meet.
+   have the same are joined again, so texts that share more than a frequent part meet. What is then still
+   apart under a key is joined all with all, but for pairs with too few words in common for any passage.
 4. In a pair all shared runs of five words become matches along diagonals; a Fenwick tree finds the best
    chain of ordered matches under gap costs; the words between and around the matches are aligned, and the
    longest parts that are 0.8 alike over 50 words are passages.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import math
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -37,8 +39,8 @@ NEAREST, FARTHEST, PARTNERS = 16, 60, 2
 FLANK = 64
 #: Texts of a key up to which all are compared with all, and how many seeds a key may take on.
 FEW, DEPTH = 6, 2
-#: Pairs with one text that a task compares, about.
-SHARE = 1_000
+#: Pairs with one text that a task compares, about; stretches of a key that a task holds against all others of it.
+SHARE, HELD = 1_000, 256
 LEAST_WORDS, SIMILARITY = 50, 0.8
 GAP_COST = 0.05
 #: Of a run that two texts hold so many times, the numbers multiplied, only places on the diagonals of rarer runs are matches.
@@ -415,6 +417,46 @@ def pairs_of(members: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("rep") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("s"), "rep")
 
 
+def bag(words: np.ndarray) -> np.ndarray:
+    """Words with their numbers, so that two texts have as many of these in common as they have words at most, repeats included."""
+    w = np.sort(words)
+    first = np.concatenate(([True], w[1:] != w[:-1])) if len(w) else np.zeros(0, dtype=bool)
+    at = np.arange(len(w))
+    return w.astype(np.int64) | (at - np.maximum.accumulate(np.where(first, at, 0))) << 32
+
+
+def placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members whose key stretches of several classes have, with `root`, their class.
+
+    A stretch belongs to the class that its passages link, over the keys they hold; over others it stands alone.
+    """
+    roots = components(found.select(F.col("s").alias("a"), F.col("rep").alias("b")))
+    spans = found.select(F.col("s").alias("stretch"), F.col("start_a").alias("start"), F.col("end_a").alias("end")).unionByName(found.select(F.col("rep").alias("stretch"), F.col("start_b").alias("start"), F.col("end_b").alias("end")))
+    held = members.join(spans.distinct(), "stretch").where("start <= first + lo AND end >= first + hi").select("key", "stretch").distinct().join(roots.withColumnRenamed("node", "stretch"), "stretch")
+    rooted = members.join(held, ["key", "stretch"], "left_outer").withColumn("root", F.coalesce("root", "stretch"))
+    rooted = saved(rooted.select("key", "stretch", "first", "lo", "hi", "root"), "placed")
+    return rooted.join(shared(rooted, "key", "root"), "key", "left_semi")
+
+
+def rest_of(apart: DataFrame, parts: DataFrame) -> DataFrame:
+    """(s, rep): all pairs of stretches of a key that are apart under it, without those that have fewer words in common than any passage."""
+
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"stretch": b["stretch"], "bag": [bag(np.frombuffer(w, dtype=np.uint32)) for w in b["words"]]})
+
+    least = math.ceil(SIMILARITY * LEAST_WORDS - 1e-9)
+    tasks = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("blocks"))
+    held = parts.join(apart.select("stretch").distinct(), "stretch", "left_semi").select("stretch", "words").mapInPandas(bags, "stretch long, bag array<long>")
+    rows = saved(apart.select("key", "stretch", "root").join(blocks, "key").join(held, "stretch"), "still-apart")
+    one = rows.select("key", F.col("stretch").alias("s"), F.col("root").alias("root_a"), F.col("bag").alias("bag_a"), F.pmod(F.xxhash64("stretch"), "blocks").cast("int").alias("block"))
+    two = rows.select("key", F.col("stretch").alias("rep"), F.col("root").alias("root_b"), F.col("bag").alias("bag_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # Few bytes, much work: dealt to all tasks by number, not by size.
+    both = one.repartition(tasks, "key", "block").join(two.repartition(tasks, "key", "block").hint("merge"), ["key", "block"])
+    return both.where("s < rep AND root_a <> root_b").where(F.size(F.array_intersect("bag_a", "bag_b")) >= least).select("s", "rep").distinct()
+
+
 def compared(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The passages of pairs (s, rep): s and rep, their contents and places in whole texts. A stretch in many pairs is dealt to several tasks."""
 
@@ -451,27 +493,31 @@ def linked(parts: DataFrame) -> DataFrame:
 
         yield from batched(rows(), ["key", "stretch", "root", "first", "lo", "hi"])
 
-    for _ in range(DEPTH):
-        many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("key")
-        members = saved(members.join(many, "key", "left_semi"), "many")
-        # A stretch belongs to the class that its passages link, over the keys they hold; over others it stands alone.
-        roots = components(found.select(F.col("s").alias("a"), F.col("rep").alias("b")))
-        spans = found.select(F.col("s").alias("stretch"), F.col("start_a").alias("start"), F.col("end_a").alias("end")).unionByName(found.select(F.col("rep").alias("stretch"), F.col("start_b").alias("start"), F.col("end_b").alias("end")))
-        held = members.join(spans.distinct(), "stretch").where("start <= first + lo AND end >= first + hi").select("key", "stretch").distinct().join(roots.withColumnRenamed("node", "stretch"), "stretch")
-        placed = members.join(held, ["key", "stretch"], "left_outer").withColumn("root", F.coalesce("root", "stretch"))
-        placed = saved(placed.select("key", "stretch", "first", "lo", "hi", "root"), "placed")
-        apart = placed.join(shared(placed, "key", "root"), "key", "left_semi")
+    def new(asked: DataFrame) -> DataFrame:
+        turned = pairs.select(F.col("rep").alias("s"), F.col("s").alias("rep"))
+        return saved(asked.join(pairs, ["s", "rep"], "left_anti").join(turned, ["s", "rep"], "left_anti"), "more-pairs")
+
+    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("key")
+    every = members = saved(members.join(many, "key", "left_semi"), "many")
+    for turn in range(DEPTH):
+        if turn:
+            many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("key")
+            members = saved(members.join(many, "key", "left_semi"), "many")
+        apart = placed(members, found)
         # Of each class one stretch goes on for it.
         one = apart.groupBy("key", "root").agg(F.min(F.struct("stretch", "first", "lo", "hi")).alias("x")).select("key", "root", "x.*")
         asked = one.groupBy("stretch", "root").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("x")).select("stretch", "root", F.col("x.key").alias("keys"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
         longer = parts.select("stretch", "first", "words").join(asked, "stretch").mapInPandas(lengthen, "key long, stretch long, root long, first long, lo int, hi int")
         longer = saved(longer.select("key", "stretch", "first", "lo", "hi").distinct(), "longer-keys")
         members = longer.join(shared(longer, "key", "stretch"), "key", "left_semi")
-        more = saved(pairs_of(members.select("key", "stretch").distinct()).join(pairs, ["s", "rep"], "left_anti").join(pairs.select(F.col("rep").alias("s"), F.col("s").alias("rep")), ["s", "rep"], "left_anti"), "more-pairs")
+        more = new(pairs_of(members.select("key", "stretch").distinct()))
         if more.isEmpty():
             break
         found = saved(found.unionByName(compared(more, parts)), "all-passages")
         pairs = saved(pairs.unionByName(more), "all-pairs")
+    more = new(rest_of(placed(every, found), parts))
+    if not more.isEmpty():
+        found = saved(found.unionByName(compared(more, parts)), "all-passages")
     return found
 
 

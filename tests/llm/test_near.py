@@ -214,6 +214,23 @@ def test_passages_against_all_pairs(spark):
         assert common_words(texts[r.doc_id][r.start : r.end], texts[r.partner_id]) >= 0.8 * (r.end - r.start) - 1
 
 
+def test_passages_around_a_frequent_phrase(spark):
+    """A phrase too short for a passage in 60 texts; in each two of them edited words go on with it, in which no run is left to tell the two from the rest."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: [word() for _ in range(n)]
+    phrase, rows = text(44), []
+    for n in range(30):
+        end = text(16)
+        for k in range(2):
+            own = [word() if k and i % 4 == 2 else w for i, w in enumerate(end)]
+            rows.append((2 * n + k, " ".join(text(40) + phrase + own + text(40))))
+    got = {r.doc_id: (r.class_id, r.partner_id) for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i - i % 2, i ^ 1) for i in range(60)}
+    a, b = np.array([5, 5, 7, 5, 9], dtype=np.uint32), np.array([5, 9, 5, 8], dtype=np.uint32)
+    assert len(set(chaining.bag(a).tolist()) & set(chaining.bag(b).tolist())) == 3 and len(chaining.bag(a[:0])) == 0
+
+
 def test_two_passages_of_a_pair_and_repeats():
     rng = np.random.default_rng(3)
     new = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
