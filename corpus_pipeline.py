@@ -51,7 +51,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays, that of the smallest id: texts link at a similarity of 0.8 or more of their runs of five words.
 
-    A fingerprint of 64 bits can't tell that (at 0.8 some ten bits differ), so op2's rule is not used here.
+    SimHash fingerprints and Golay keys find the first candidates, as in op2, but each link is checked by that
+    similarity; what fingerprints can't tell (at 0.8 some ten of 64 bits differ) is searched without loss after them.
     Rows that repeat both id and text are one document and stay together; of one id with other texts each
     text is a document; a null id stays only if its group has no other. Texts without words, null ones
     included, are one group. An empty table stays empty; other columns, whatever their names, stay.

@@ -9,7 +9,7 @@ words two bits apart share one of each other's six. Fingerprints that share a ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from .common import saved, table, text_of
 from .graph import components
 
 WORDS, SEED, ERRORS = 4, 42, 4
+#: Hashes whose bits are counted at once.
+BLOCK = 1 << 15
 #: Fixed value: a generator of the (23, 12) Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
 #: Lowest bit and number of bits of each segment.
@@ -27,6 +29,14 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
+def majority(blocks: Iterable[np.ndarray], n: int) -> int:
+    """The bits that over half of n 64-bit hashes have, which come in blocks."""
+    counts = np.zeros(64, dtype=np.int64)
+    for hashes in blocks:
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
+
+
 def fingerprint(text: str, words: int = WORDS) -> int:
     """Bit by bit the majority of the hashes of all runs of `words` words; of the whole sequence, if shorter; 0 without words."""
     from xxhash import xxh64_intdigest
@@ -38,11 +48,8 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(words, len(parts)) - 1 :].tolist()
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 15):
-        hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)], strict=True)), dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
+    spans = ((starts[at : at + BLOCK], ends[at : at + BLOCK]) for at in range(0, n, BLOCK))
+    return majority((np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(*some, strict=True)), dtype="<u8") for some in spans), n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Near duplicates by the Jaccard similarity of their runs of words, without loss.
+"""Near duplicates by SimHash fingerprints and the Jaccard similarity of their runs of words, without loss.
 
-A text is the set of its runs of five words. With all runs in one order, two sets at least 0.8 alike share
+A text is the set of its runs of five words. Sets get SimHash fingerprints of 64 bits; fingerprints up to four
+bits apart are found by Golay keys (`simhash.py`), and each set is compared in full with the first one of those
+that its fingerprint leads to. At a similarity of 0.8 fingerprints differ in some ten bits, so what they leave
+apart is searched without loss: With all runs in one order, two sets at least 0.8 alike share
 a run among the first of each, n - 0.8 n + 1 of n, so those are keys that miss no pair. Any order will do;
 runs that are frequent in a sample come last, so that common phrases are seldom keys. Sets that share a key
 at places and of sizes that allow the similarity are compared by their parities, a bit or two for each run,
 which tell how far apart they are at least; what may still be alike is compared in full.
 
-Each set is first compared with the least set of each of its keys, which joins large groups of near copies;
-what is not in one component by then is compared pair by pair.
+There each set is first compared with the least set of each of its keys, which joins large groups of near
+copies; what is not in one component by then is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import dropped, saved, text_of
 from .graph import components
 
@@ -56,6 +60,12 @@ def parities(runs: np.ndarray) -> bytes:
     return np.packbits((np.bincount(runs & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def fingerprint(runs: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of runs, signed."""
+    some = (runs[at : at + simhash.BLOCK] for at in range(0, len(runs), simhash.BLOCK))
+    return int(np.uint64(simhash.majority(some, len(runs))).astype(np.int64))
+
+
 def least_apart(x: bytes, y: bytes) -> int:
     """So many runs at least are in one only of the two sets with these parities: each changes one bit."""
     if len(x) < len(y):
@@ -82,7 +92,7 @@ def frequent_runs(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def sets_of(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, h, node (a hash of the set), n, odd (its parities) and keys: of each set the first runs, of which two sets that are alike share one.
+    """doc_id, h, node (a hash of the set), n, odd (its parities), fp (its fingerprint) and keys: of each set the first runs, of which two sets that are alike share one.
 
     The sets themselves are eight bytes a word, more than the texts; they are made again for those compared.
     """
@@ -95,14 +105,14 @@ def sets_of(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                 found = []
                 for text in b["text"][at : at + 500]:
                     runs = shingles(text, words)
-                    node, n, odd = hashed(runs), len(runs), parities(runs)
+                    node, n, odd, fp = hashed(runs), len(runs), parities(runs), fingerprint(runs)
                     if len(listed):
                         i = np.minimum(np.searchsorted(listed, runs), len(listed) - 1)
                         runs = runs[np.argsort(np.where(listed[i] == runs, often[i], 0), kind="stable")]
-                    found.append((node, n, odd, runs[: n - math.ceil(similarity * n - 1e-9) + 1]))
-                yield b[["doc_id", "h"]][at : at + 500].reset_index(drop=True).join(pd.DataFrame(found, columns=["node", "n", "odd", "keys"]))
+                    found.append((node, n, odd, fp, runs[: n - math.ceil(similarity * n - 1e-9) + 1]))
+                yield b[["doc_id", "h"]][at : at + 500].reset_index(drop=True).join(pd.DataFrame(found, columns=["node", "n", "odd", "fp", "keys"]))
 
-    return texts.mapInPandas(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, node long, n int, odd binary, keys array<long>")
+    return texts.mapInPandas(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, node long, n int, odd binary, fp long, keys array<long>")
 
 
 def may_be_alike(similarity: float) -> Column:
@@ -155,6 +165,24 @@ def alike(pairs: DataFrame, texts: DataFrame, known: DataFrame, words: int, simi
     return out
 
 
+def by_fingerprint(known: DataFrame) -> DataFrame:
+    """(a, b): each set with the least one of those that links of close fingerprints lead to. Sets without runs are left out."""
+    sets = saved(known.where("n > 0").select("node", "fp").dropDuplicates(["node"]), "fingerprints")
+    roots = components(simhash.close_pairs(sets.select("fp").distinct()))
+    rooted = saved(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left_outer").select("node", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
+    least = rooted.groupBy("root").agg(F.min("node").alias("a"))
+    out = saved(rooted.join(least, "root").where("a < node").select("a", F.col("node").alias("b")), "simhash-pairs")
+    dropped(sets, rooted)
+    return out
+
+
+def still_apart(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with `root`, the component of their sets, as a saved table; and those of keys with several roots."""
+    rooted = saved(rows.join(components(links), "node", "left_outer").withColumn("root", F.coalesce("root", "node")), "rooted-keys")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    return rooted, rooted.join(apart, "key", "left_semi")
+
+
 def side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("key", *(F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in rows.columns if c != "key"))
 
@@ -174,19 +202,22 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recurring = every.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
     rows = saved(every.join(recurring, "key", "left_semi"), "recurring-keys")
 
+    close = by_fingerprint(known)
+    links = alike(close, texts, known, words, similarity)
+    first, open_rows = still_apart(rows, links)
+    dropped(rows)
+
     # The least set of each key; its other columns come with it.
-    least = rows.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("x")).select("key", F.col("x.node").alias("a"), F.col("x.n").alias("n_a"), F.col("x.place").alias("place_a"))
-    pairs = saved(least.join(side(rows, "b"), "key").where("a < b").where(may_be_alike(similarity)).select("a", "b").distinct(), "first-pairs")
-    links = alike(pairs, texts, known, words, similarity)
+    least = open_rows.groupBy("key").agg(F.min(F.struct("node", "n", "place", "root")).alias("x")).select("key", F.col("x.node").alias("a"), F.col("x.n").alias("n_a"), F.col("x.place").alias("place_a"), F.col("x.root").alias("root_a"))
+    met = least.join(side(open_rows, "b"), "key").where("a < b AND root_a <> root_b").where(may_be_alike(similarity)).select("a", "b").distinct()
+    pairs = saved(met.join(close, ["a", "b"], "left_anti"), "first-pairs")
+    links = links.unionByName(alike(pairs, texts, known, words, similarity))
 
-    roots = components(links)
-    rooted = saved(rows.join(roots, "node", "left_outer").withColumn("root", F.coalesce("root", "node")), "rooted-keys")
-    dropped(rows)
-    apart = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    open_rows = rooted.join(apart, "key", "left_semi")
+    second, open_rows = still_apart(open_rows.drop("root"), links)
+    dropped(first)
     rest = side(open_rows, "a").join(side(open_rows, "b"), "key").where("a < b AND root_a <> root_b").where(may_be_alike(similarity)).select("a", "b").distinct()
-    others = saved(rest.join(pairs, ["a", "b"], "left_anti"), "other-pairs")
-    dropped(rooted, pairs)
+    others = saved(rest.join(pairs.unionByName(close), ["a", "b"], "left_anti"), "other-pairs")
+    dropped(second, pairs, close)
     links = links.unionByName(alike(others, texts, known, words, similarity))
     dropped(others)
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomtrace.llm import decontamination, similar, toxicity
+from loomtrace.llm import decontamination, similar, simhash, toxicity
 
 
 def invented(rng, n):
@@ -40,6 +40,31 @@ def test_parities_never_say_too_far():
             assert m != n or n < 500 or apart > 0.25 * n
 
 
+def test_fingerprints_lead_near_duplicates(spark):
+    """SimHash gives the first candidates: each set with the least of its fingerprint's component, by brute force."""
+    rng = random.Random(6)
+    texts = ["", "...", *(" ".join(invented(rng, 60)) for _ in range(20))]
+    for n in range(10):
+        words = invented(rng, 400)
+        for k in range(6):
+            words[30 * k] = f"edit{k}"
+            texts.append(" ".join(words))
+    known = similar.sets_of(spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, h long"), 5, 0.8)
+    prints = {r.node: r.fp for r in known.where("n > 0").collect()}
+    of_text = {similar.hashed(s): simhash.majority([s], len(s)) for t in texts if len(s := similar.shingles(t, 5))}
+    assert {n: f % (1 << 64) for n, f in prints.items()} == of_text
+    root = {n: n for n in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if root[a] < root[b] and bin((prints[a] ^ prints[b]) % (1 << 64)).count("1") <= 4:
+                    root[b], changed = root[a], True
+    want = {(root[n], n) for n in prints if root[n] != n}
+    assert len(want) > 30 and {(r.a, r.b) for r in similar.by_fingerprint(known).collect()} == want
+
+
 def test_near_duplicate_stage(spark):
     """The stage keeps what brute force keeps: copies edited to every similarity, chains of them, a large group, and texts of the tables."""
     rng = random.Random(12)
