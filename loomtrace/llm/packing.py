@@ -19,7 +19,7 @@ import re
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,14 +32,15 @@ from .token_count import byte_letters
 ROOM = 2048
 #: Ranges of gap sizes that a round sweeps at once; lengths of a band are at most BAND times as long as others in it.
 RANGES, BAND = 4, 8
-#: Words whose identifiers a worker remembers; beyond, it forgets them all and starts anew.
+#: Words whose identifiers a worker remembers; beyond, it forgets them all before the next text and starts anew.
 REMEMBERED = 400_000
 #: White space as tokenizers see it; Python's own split() also cuts at the four separators U+001C to U+001F.
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: A full stop or comma between a letter or digit and white space is a word of its own for the tokenizer too.
 #: Not after U+0130: its small letter ends in a combining dot, which the tokenizer joins with the stop.
-END = re.compile(r"(?<=[^\W_])(?<!\u0130)([.,])(?=\s|$)")
+#: The sign comes first and is looked back at, so that the search jumps from sign to sign.
+END = re.compile(r"([.,])(?<=[^\W_][.,])(?<!\u0130[.,])(?=\s|$)")
 #: The special strings. They are looked for as they stand, before any letter is made small.
 SPECIAL = re.compile(r"(<\|(?:startoftext|endoftext)\|>)")
 #: Marks that join with a letter before them; some join with small letters only, so such texts are left to the library.
@@ -61,6 +62,18 @@ def small(text: str) -> str:
 LATIN_END = "\u0250"
 
 
+class Remembered(dict):
+    """What `make` gives for a key, made when it is first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.make(key)
+        return found
+
+
 class WordIds:
     """Token identifiers of texts, as little-endian unsigned 32-bit integers.
 
@@ -72,7 +85,8 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, byte_letters()
+        self.tokenizer, self.letters = Tokenizer.from_file(path), byte_letters()
+        self.known = Remembered(lambda word: array("I", self.ids(word)).tobytes())
 
     def ids(self, word: str) -> list[int]:
         if word.isalpha() and word[-1] < LATIN_END and max(word) < LATIN_END and word == word.lower():
@@ -80,17 +94,13 @@ class WordIds:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = []
+        out = []
         for t in texts:
             t = END.sub(r" \1", small(t))
-            words.append(SPACE.split(t) if SEPARATORS.search(t) else t.split())
-        new = set().union(*words) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*words)
-        for word in new:
-            self.known[word] = array("I", self.ids(word)).tobytes()
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            out.append(b"".join(map(self.known.__getitem__, SPACE.split(t) if SEPARATORS.search(t) else t.split())))
+        return out
 
 
 def word_ids(path: str) -> WordIds:

@@ -45,6 +45,16 @@ def test_ids_of_many_texts(libraries):
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [e.ids for e in libraries[1].encode_batch(texts, add_special_tokens=False)]
 
 
+def test_remembered_words_are_bounded_by_a_text(libraries, monkeypatch):
+    """Forgetting goes text by text: a batch of new words never stands whole in memory, and identifiers stay the library's."""
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    texts = [" ".join(f"w{i}x{k}," for k in range(20)) for i in range(40)]
+    words = packing.WordIds(WORDS)
+    library = Tokenizer.from_file(WORDS)
+    assert words.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(words.known) <= 50 + 21
+
+
 def test_token_counts_odd(spark, odd_docs, no_docs, libraries):
     out = token_count.token_counts(odd_docs, BYTES, over=1024).collect()
     want = [(r.doc_id, len((r.text or "").encode()), len(libraries[0].encode(r.text or "", add_special_tokens=False).ids)) for r in odd_docs.collect()]
