@@ -5,9 +5,8 @@
 2. Seeds are sampled runs that two texts have; two seeds 16 to 60 words apart are a key. Phrases and lines
    shorter than that make no key, and an exact passage of 50 words makes one for certain.
 3. Texts that have a key are joined: all of them where they are few, else each with the first and the last.
-   Where that leaves texts of a key apart, the key takes one more seed before or after it and the texts that
-   have the same are joined again, so texts that share more than a frequent part meet. What is then still
-   apart under a key is joined all with all, but for pairs with too few words in common for any passage.
+   What is then still apart under a key is joined all with all, but for pairs with too few words in common
+   for any passage. Of keys that the same texts have one is taken.
 4. In a pair all shared runs of five words become matches along diagonals; a Fenwick tree finds the best
    chain of ordered matches under gap costs; the words between and around the matches are aligned, and the
    longest parts that are 0.8 alike over 50 words are passages.
@@ -25,7 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, saved, table, text_of
@@ -37,8 +36,8 @@ RUN, WINDOW = 5, 8
 NEAREST, FARTHEST, PARTNERS = 16, 60, 2
 #: Words kept on each side of a key.
 FLANK = 64
-#: Texts of a key up to which all are compared with all, and how many seeds a key may take on.
-FEW, DEPTH = 6, 2
+#: Texts of a key up to which all are compared with all; links up to which one task finds the classes of what rounds have left.
+FEW, LAST_LINKS = 6, 20_000
 #: Pairs with one text that a task compares, about; stretches of a key that a task holds against all others of it.
 SHARE, HELD = 1_000, 256
 LEAST_WORDS, SIMILARITY = 50, 0.8
@@ -63,9 +62,11 @@ def runs(words: np.ndarray) -> np.ndarray:
     n = len(words) - RUN + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(RUN):
-        h = (h + words[i : i + n].astype(np.uint64) + np.uint64(1)) * ODD
+    w = words.astype(np.uint64) + np.uint64(1)
+    h = w[:n] * ODD
+    for i in range(1, RUN):
+        h += w[i : i + n]
+        h *= ODD
     return mixed(h)
 
 
@@ -99,19 +100,6 @@ def seed_keys(places: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.nda
     return key, lo[at], hi[at]
 
 
-def longer_keys(words: np.ndarray, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a text with each sampled run within FARTHEST words before or after them."""
-    places, seeds = sampled(words)
-    found = []
-    for key, a, z in zip(keys, lo.tolist(), hi.tolist(), strict=True):
-        for side, part in ((1, slice(*np.searchsorted(places, (a - FARTHEST, a)))), (2, slice(*np.searchsorted(places, (z, z + FARTHEST))))):
-            p = places[part]
-            found.append((with_seed(np.full(len(p), key), seeds[part], side), np.minimum(p, a), np.maximum(p + RUN, z)))
-    key, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-    key, at = np.unique(key, return_index=True)
-    return key, lo[at], hi[at]
-
-
 class Fenwick:
     """Greatest value, and who has it, among places up to one."""
 
@@ -134,18 +122,37 @@ class Fenwick:
         return found
 
 
-def shared_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) where the same run begins."""
-    ha, hb = runs(a), runs(b)
-    order = np.argsort(hb, kind="stable")
-    sorted_b = hb[order]
-    lo, hi = np.searchsorted(sorted_b, ha, "left"), np.searchsorted(sorted_b, ha, "right")
-    at = np.flatnonzero(hi > lo)
+class Side:
+    """One text of a pair: its words, its runs with their order, and what its words are."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.runs = words, runs(words)
+        self.order = np.argsort(self.runs, kind="stable")
+        self.sorted = self.runs[self.order]
+        self.known = np.unique(words)
+
+
+def may_share(a: np.ndarray, known: np.ndarray) -> bool:
+    """Whether LEAST_WORDS words or more in a row of a are SIMILARITY known ones. Without that a has no passage with a text of the known words."""
+    if len(a) < LEAST_WORDS or not len(known):
+        return False
+    same = known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a
+    sums = np.zeros(len(a) + 1, dtype=np.int64)
+    np.cumsum(np.where(same, 1, -4), out=sums[1:])
+    return bool((sums[LEAST_WORDS:] >= np.minimum.accumulate(sums[:-LEAST_WORDS])).any())
+
+
+def shared_runs(ha: np.ndarray, other: Side) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of the runs ha, of those of the other text) where the same run begins."""
+    hb, order = other.runs, other.order
+    lo = np.searchsorted(other.sorted, ha, "left")
+    at = np.flatnonzero(other.sorted[np.minimum(lo, len(hb) - 1)] == ha) if len(hb) else lo[:0]
     if not len(at):
         return at, at
-    times_b = (hi - lo)[at]
-    _, which, times_a = np.unique(ha[at], return_inverse=True, return_counts=True)
-    rare = times_b * times_a[which] <= REPEATS
+    times_b = np.searchsorted(other.sorted, ha[at], "right") - lo[at]
+    again = np.sort(ha[at])
+    times_a = np.searchsorted(again, ha[at], "right") - np.searchsorted(again, ha[at], "left") if (again[1:] == again[:-1]).any() else 1
+    rare = times_b * times_a <= REPEATS
     some, n = at[rare], times_b[rare]
     i = np.repeat(some, n)
     j = order[np.arange(n.sum()) + np.repeat(lo[some] - np.cumsum(n) + n, n)]
@@ -163,14 +170,16 @@ def shared_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def diagonals(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+def diagonals(ha: np.ndarray, other: Side) -> list[tuple[int, int, int]]:
     """(place in a, place in b, words) of the maximal rows of shared runs along diagonals."""
-    i, j = shared_runs(a, b)
+    i, j = shared_runs(ha, other)
     if not len(i):
         return []
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(j) != 1))))
+    # By diagonal and place: the next place of a diagonal is the next number.
+    place = ((i - j) << 32) + i
+    order = np.argsort(place)
+    i, j, place = i[order], j[order], place[order]
+    new = np.concatenate(([0], np.flatnonzero(place[1:] - place[:-1] != 1) + 1))
     last = np.append(new[1:], len(i)) - 1
     return sorted(zip(i[new].tolist(), j[new].tolist(), (i[last] - i[new] + RUN).tolist(), strict=True))
 
@@ -179,6 +188,16 @@ def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The best chain: matches in order in both texts, each worth its words less GAP_COST for every word from its end to the next start."""
     if len(matches) == 1:
         return matches
+    if all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in zip(matches, matches[1:], strict=False)):
+        # All in order: the match just before is the best one to follow.
+        score, first = [float(matches[0][2])], [0]
+        for m in range(1, len(matches)):
+            (pi, pj, pn), (i, j, n) = matches[m - 1], matches[m]
+            gain = score[-1] + GAP_COST * (pi + pj + 2 * pn) - GAP_COST * (i + j)
+            score.append(n + max(0.0, gain))
+            first.append(first[-1] if gain > 0 else m)
+        at = score.index(max(score))
+        return matches[first[at] : at + 1]
     ends = sorted({j + n for _, j, n in matches})
     place = {e: i for i, e in enumerate(ends)}
     tree, score, before = Fenwick(len(ends)), [], []
@@ -201,27 +220,28 @@ def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
-def matched(a: np.ndarray, b: np.ndarray) -> int:
-    """Words that the best alignment of a and b has in common."""
-    if not len(a) or not len(b):
+def matched(a: list[int], b: list[int]) -> int:
+    """Words that the best alignment of a and b has in common: a row of the alignment is the bits of a number, 0 where it grows."""
+    if not a or not b:
         return 0
-    if len(a) == len(b) and (same := int((a == b).sum())) >= len(a) - 1:
-        return same
-    if len(a) > len(b):
-        a, b = b, a
-    row = np.zeros(len(b) + 1, dtype=np.int32)
+    if len(a) == len(b) == 1:
+        return int(a[0] == b[0])
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    row = every = (1 << len(b)) - 1
     for x in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        row = np.maximum.accumulate(row)
-    return int(row[-1])
+        if same := where.get(x, 0) & row:
+            row = (row + same | row - same) & every
+    return len(b) - row.bit_count()
 
 
-def columns(links: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+def columns(links: list[tuple[int, int, int]], a: list[int], b: list[int]) -> list[tuple[int, int, int, int, int, int]]:
     """A chain as aligned parts (matched words, words, start in a, end, start in b, end), with the words around it along its first and last diagonals."""
     out = []
     i, j, _ = links[0]
     n = min(i, j, FLANK)
-    for k in np.flatnonzero(np.concatenate((a[i - n : i] == b[j - n : j], [True]))).tolist():
+    for k in [*(k for k in range(n) if a[i - n + k] == b[j - n + k]), n]:
         if k < n and not out:
             out.append((1, 1, i - n + k, i - n + k + 1, j - n + k, j - n + k + 1))
         elif out:
@@ -234,7 +254,7 @@ def columns(links: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) ->
         if x:
             pi, pj, pn = links[x - 1]
             ga, gb = a[pi + pn : i], b[pj + pn : j]
-            if len(ga) or len(gb):
+            if ga or gb:
                 # A gap that no passage of these texts can hold is not aligned.
                 hopeless = 4 * abs(len(ga) - len(gb)) > min(len(a), len(b))
                 out.append((0 if hopeless else matched(ga, gb), max(len(ga), len(gb)), pi + pn, i, pj + pn, j))
@@ -243,7 +263,9 @@ def columns(links: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) ->
     i, j = i + n, j + n
     n = min(len(a) - i, len(b) - j, FLANK)
     at = 0
-    for k in np.flatnonzero(a[i : i + n] == b[j : j + n]).tolist():
+    for k in range(n):
+        if a[i + k] != b[j + k]:
+            continue
         if k > at:
             out.append((0, k - at, i + at, i + k, j + at, j + k))
         out.append((1, 1, i + k, i + k + 1, j + k, j + k + 1))
@@ -310,13 +332,17 @@ def longest_alike(parts: list[tuple]) -> Iterator[tuple[int, int]]:
             todo += [(lo, lo + first), (lo + end, hi)]
 
 
-def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+def passages(a: np.ndarray, b: np.ndarray | Side) -> list[tuple[int, int, int, int, float]]:
     """(start in a, end, start in b, end, similarity) of the passages of the best chains; a chain's matches are left out and the rest is chained again.
 
     Similarity is the share of matched words in the aligned ones, of the longer side where two gaps differ.
     """
-    out = []
-    left = diagonals(a, b)
+    out: list[tuple[int, int, int, int, float]] = []
+    other = b if isinstance(b, Side) else Side(b)
+    if not may_share(a, other.known):
+        return out
+    left = diagonals(runs(a), other)
+    a, b = a.tolist(), other.words.tolist()
     while left:
         links = chain(left)
         if sum(n for _, _, n in links) < LEAST_CHAIN:
@@ -406,14 +432,20 @@ def stretches(contents: DataFrame) -> DataFrame:
     return found
 
 
-def pairs_of(members: DataFrame) -> DataFrame:
+def same_members(*of: str) -> list[Column]:
+    """Two 64-bit marks of a key's members: keys with the same ones have equal marks."""
+    return [F.bit_xor(F.xxhash64(*of, F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
+
+
+def pairs_of(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(s, rep): stretches to compare, of the members (key, stretch) of each key: all of few, else each with the first and the last."""
-    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most")).where("least < most")
-    both = members.join(groups, "key")
+    of_set = groups.groupBy("n", "least", "most", "mark0", "mark1").agg(F.min("key").alias("key"))
+    two = of_set.where("n = 2").select(F.col("least").alias("stretch"), F.col("most").alias("rep"))
+    both = members.join(of_set.where("n > 2").select("key", "n", "least", "most"), "key")
     ends = both.where(F.col("n") > FEW).select("stretch", F.explode(F.array("least", "most")).alias("rep")).where("stretch <> rep")
     few = both.where(F.col("n") <= FEW).select("key", "stretch")
     each = few.join(few.withColumnRenamed("stretch", "rep"), "key").where("stretch < rep").select("stretch", "rep")
-    found = ends.unionByName(each).groupBy(F.least("stretch", "rep").alias("a"), F.greatest("stretch", "rep").alias("b")).agg(F.max("rep").alias("rep"))
+    found = two.unionByName(ends).unionByName(each).groupBy(F.least("stretch", "rep").alias("a"), F.greatest("stretch", "rep").alias("b")).agg(F.max("rep").alias("rep"))
     return found.select(F.when(F.col("rep") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("s"), "rep")
 
 
@@ -430,11 +462,11 @@ def placed(members: DataFrame, found: DataFrame) -> DataFrame:
 
     A stretch belongs to the class that its passages link, over the keys they hold; over others it stands alone.
     """
-    roots = components(found.select(F.col("s").alias("a"), F.col("rep").alias("b")))
+    roots = components(found.select(F.col("s").alias("a"), F.col("rep").alias("b")), LAST_LINKS)
     spans = found.select(F.col("s").alias("stretch"), F.col("start_a").alias("start"), F.col("end_a").alias("end")).unionByName(found.select(F.col("rep").alias("stretch"), F.col("start_b").alias("start"), F.col("end_b").alias("end")))
     held = members.join(spans.distinct(), "stretch").where("start <= first + lo AND end >= first + hi").select("key", "stretch").distinct().join(roots.withColumnRenamed("node", "stretch"), "stretch")
     rooted = members.join(held, ["key", "stretch"], "left_outer").withColumn("root", F.coalesce("root", "stretch"))
-    rooted = saved(rooted.select("key", "stretch", "first", "lo", "hi", "root"), "placed")
+    rooted = saved(rooted.select("key", "stretch", "root"), "placed")
     return rooted.join(shared(rooted, "key", "root"), "key", "left_semi")
 
 
@@ -447,7 +479,8 @@ def rest_of(apart: DataFrame, parts: DataFrame) -> DataFrame:
 
     least = math.ceil(SIMILARITY * LEAST_WORDS - 1e-9)
     tasks = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("blocks"))
+    sets = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *same_members("stretch", "root")).groupBy("n", "mark0", "mark1").agg(F.min("key").alias("key"))
+    blocks = sets.select("key", F.ceil(F.col("n") / HELD).cast("int").alias("blocks"))
     held = parts.join(apart.select("stretch").distinct(), "stretch", "left_semi").select("stretch", "words").mapInPandas(bags, "stretch long, bag array<long>")
     rows = saved(apart.select("key", "stretch", "root").join(blocks, "key").join(held, "stretch"), "still-apart")
     one = rows.select("key", F.col("stretch").alias("s"), F.col("root").alias("root_a"), F.col("bag").alias("bag_a"), F.pmod(F.xxhash64("stretch"), "blocks").cast("int").alias("block"))
@@ -463,10 +496,13 @@ def compared(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["s", "rep", "a", "b", "start_a", "end_a", "start_b", "end_b", "similarity"]
         for t in batches:
-            rows = []
+            rows, of = [], None
             for s, rep, a, b, fa, fb, wa, wb in zip(*(t[c] for c in ("s", "rep", "content_a", "content_b", "first_a", "first_b", "words_a", "words_b")), strict=True):
                 if a != b:
-                    rows += [(s, rep, a, b, i + fa, k + fa, j + fb, m + fb, alike) for i, k, j, m, alike in passages(np.frombuffer(wa, dtype=np.uint32), np.frombuffer(wb, dtype=np.uint32))]
+                    # The pairs of a stretch follow each other.
+                    if of != rep:
+                        of, other = rep, Side(np.frombuffer(wb, dtype=np.uint32))
+                    rows += [(s, rep, a, b, i + fa, k + fa, j + fb, m + fb, alike) for i, k, j, m, alike in passages(np.frombuffer(wa, dtype=np.uint32), other)]
             yield pd.DataFrame(rows, columns=names)
 
     busy = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
@@ -474,51 +510,24 @@ def compared(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     one = parts.select(F.col("stretch").alias("s"), F.col("content").alias("content_a"), F.col("first").alias("first_a"), F.col("words").alias("words_a"))
     two = parts.select(F.col("stretch").alias("rep"), F.col("content").alias("content_b"), F.col("first").alias("first_b"), F.col("words").alias("words_b"))
     two = two.join(busy, "rep").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    texts = asked.select("s", "rep", "share").join(one, "s").join(two, ["rep", "share"])
+    # Few bytes, much work: dealt to all tasks by number, not by size.
+    tasks = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = asked.select("s", "rep", "share").join(one, "s").repartition(tasks, "rep", "share").join(two.repartition(tasks, "rep", "share").hint("merge"), ["rep", "share"])
     return saved(texts.mapInPandas(compare, "s long, rep long, a long, b long, " + PASSAGE), "passages")
 
 
 def linked(parts: DataFrame) -> DataFrame:
     """All passages that pairs of stretches are found to share."""
     members = parts.select("stretch", "first", F.explode(F.arrays_zip("keys", "lo", "hi")).alias("x")).select(F.col("x.keys").alias("key"), "stretch", "first", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-    pairs = saved(pairs_of(members.select("key", "stretch")), "pairs")
+    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most"), *same_members("stretch")).where("least < most")
+    groups = saved(groups, "groups")
+    pairs = saved(pairs_of(members.select("key", "stretch"), groups), "pairs")
     found = compared(pairs, parts)
-
-    def lengthen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for stretch, root, first, w, *spans in zip(b["stretch"].tolist(), b["root"].tolist(), b["first"].tolist(), b["words"], b["keys"], b["lo"], b["hi"], strict=True):
-                    key, lo, hi = longer_keys(np.frombuffer(w, dtype=np.uint32), *(np.asarray(x, dtype=np.int64) for x in spans))
-                    yield key, stretch, root, first, lo, hi
-
-        yield from batched(rows(), ["key", "stretch", "root", "first", "lo", "hi"])
-
-    def new(asked: DataFrame) -> DataFrame:
-        turned = pairs.select(F.col("rep").alias("s"), F.col("s").alias("rep"))
-        return saved(asked.join(pairs, ["s", "rep"], "left_anti").join(turned, ["s", "rep"], "left_anti"), "more-pairs")
-
-    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("key")
-    every = members = saved(members.join(many, "key", "left_semi"), "many")
-    for turn in range(DEPTH):
-        if turn:
-            many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("key")
-            members = saved(members.join(many, "key", "left_semi"), "many")
-        apart = placed(members, found)
-        # Of each class one stretch goes on for it.
-        one = apart.groupBy("key", "root").agg(F.min(F.struct("stretch", "first", "lo", "hi")).alias("x")).select("key", "root", "x.*")
-        asked = one.groupBy("stretch", "root").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("x")).select("stretch", "root", F.col("x.key").alias("keys"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-        longer = parts.select("stretch", "first", "words").join(asked, "stretch").mapInPandas(lengthen, "key long, stretch long, root long, first long, lo int, hi int")
-        longer = saved(longer.select("key", "stretch", "first", "lo", "hi").distinct(), "longer-keys")
-        members = longer.join(shared(longer, "key", "stretch"), "key", "left_semi")
-        more = new(pairs_of(members.select("key", "stretch").distinct()))
-        if more.isEmpty():
-            break
-        found = saved(found.unionByName(compared(more, parts)), "all-passages")
-        pairs = saved(pairs.unionByName(more), "all-pairs")
-    more = new(rest_of(placed(every, found), parts))
-    if not more.isEmpty():
-        found = saved(found.unionByName(compared(more, parts)), "all-passages")
-    return found
+    apart = placed(members.join(groups.where(F.col("n") > FEW).select("key"), "key", "left_semi"), found)
+    dropped(groups)
+    turned = pairs.select(F.col("rep").alias("s"), F.col("s").alias("rep"))
+    more = saved(rest_of(apart, parts).join(pairs.unionByName(turned), ["s", "rep"], "left_anti"), "more-pairs")
+    return found if more.isEmpty() else saved(found.unionByName(compared(more, parts)), "all-passages")
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -548,7 +557,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = linked(parts)
 
     copies = saved(rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "copies")
-    roots = components(alike.select("a", "b"))
+    roots = components(alike.select("a", "b"), LAST_LINKS)
     classes = copies.join(roots.withColumnRenamed("node", "content"), "content", "left_outer").withColumn("root", F.coalesce("root", "content"))
     classes = saved(classes.select("content", "copies", "least", "most", "root"), "roots")
     names = classes.groupBy("root").agg(F.min("least").alias("class_id"))

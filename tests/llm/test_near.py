@@ -231,6 +231,54 @@ def test_passages_around_a_frequent_phrase(spark):
     assert len(set(chaining.bag(a).tolist()) & set(chaining.bag(b).tolist())) == 3 and len(chaining.bag(a[:0])) == 0
 
 
+def test_passages_take_few_tables(spark, monkeypatch):
+    """A long chain of links: each text shares passages with the next one only, one class over all, and the tables written don't follow the chain's length."""
+    rng = random.Random(29)
+    passages = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(60)) for _ in range(41)]
+    rows = [(i, f"{passages[i]} {passages[i + 1]}") for i in range(40)]
+    tags = []
+    for module in (chaining, graph):
+        monkeypatch.setattr(module, "saved", lambda df, tag, f=module.saved: tags.append(tag) or f(df, tag))
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict.fromkeys(range(40), 0)
+    assert {(r.doc_id, r.start) for r in got} == {(i, n) for i in range(40) for n in (0, 60)} - {(0, 0), (39, 60)}
+    assert len(tags) <= 25, tags
+
+
+def test_components_with_last_links(spark):
+    rng = random.Random(31)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 50)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(200)] + [(-5, 7), (3000, 3000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    for last in (0, 40, 10_000):
+        roots = {r.node: r.root for r in graph.components(df, last).collect()}
+        want = closure([e for e in edges if e[0] != e[1]], roots)
+        assert set(roots) == {x for a, b in edges if a != b for x in (a, b)}
+        assert len({(roots[x], want[x]) for x in roots}) == len(set(roots.values())) == len(set(want.values())), last
+
+
+def test_pairs_of_keys_with_the_same_members(spark):
+    members = [(k, t) for k in range(30) for t in ((1, 2), (3, 4, 5), tuple(range(10, 18)))[k % 3]] + [(99, 2), (99, 3), (100, 6)]
+    df = spark.createDataFrame(members, "key long, stretch long")
+    groups = df.groupBy("key").agg(chaining.F.count("*").alias("n"), chaining.F.min("stretch").alias("least"), chaining.F.max("stretch").alias("most"), *chaining.same_members("stretch")).where("least < most")
+    got = [tuple(sorted(r)) for r in chaining.pairs_of(df, groups).collect()]
+    want = {(1, 2), (2, 3), (3, 4), (3, 5), (4, 5)} | {(10, i) for i in range(11, 18)} | {(i, 17) for i in range(11, 17)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_words_in_common_and_what_may_share():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.integers(2, 9), rng.integers(0, 90)).tolist() for _ in range(2))
+        assert chaining.matched(a, b) == common_words(a, b)
+    for n, same in ((50, 40), (50, 39), (49, 49), (80, 64), (80, 63)):
+        a = np.arange(1000, 1000 + n, dtype=np.uint32)
+        at = np.sort(rng.permutation(n)[:same])
+        known = np.unique(np.concatenate((a[at], np.arange(5, dtype=np.uint32))))
+        dense = any(np.isin(a[i:k], known).sum() >= 0.8 * (k - i) for i in range(n) for k in range(i + 50, n + 1))
+        assert chaining.may_share(a, known) == dense and (same < 0.8 * n or n < 50 or dense)
+    assert not chaining.may_share(a, known[:0]) and chaining.passages(a[:0], a) == []
+
+
 def test_two_passages_of_a_pair_and_repeats():
     rng = np.random.default_rng(3)
     new = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
