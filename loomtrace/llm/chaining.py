@@ -40,6 +40,8 @@ FLANK = 64
 FEW, LAST_LINKS = 6, 20_000
 #: Pairs with one text that a task compares, about; stretches of a key that a task holds against all others of it.
 SHARE, HELD = 1_000, 256
+#: Texts that are compared with one at once.
+AT_ONCE = 64
 LEAST_WORDS, SIMILARITY = 50, 0.8
 GAP_COST = 0.05
 #: Of a run that two texts hold so many times, the numbers multiplied, only places on the diagonals of rarer runs are matches.
@@ -129,59 +131,78 @@ class Side:
         self.words, self.runs = words, runs(words)
         self.order = np.argsort(self.runs, kind="stable")
         self.sorted = self.runs[self.order]
+        #: How often a run in that order is there.
+        self.times = np.searchsorted(self.sorted, self.sorted, "right") - np.searchsorted(self.sorted, self.sorted, "left")
         self.known = np.unique(words)
 
 
-def may_share(a: np.ndarray, known: np.ndarray) -> bool:
-    """Whether LEAST_WORDS words or more in a row of a are SIMILARITY known ones. Without that a has no passage with a text of the known words."""
-    if len(a) < LEAST_WORDS or not len(known):
-        return False
-    same = known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a
-    sums = np.zeros(len(a) + 1, dtype=np.int64)
-    np.cumsum(np.where(same, 1, -4), out=sums[1:])
-    return bool((sums[LEAST_WORDS:] >= np.minimum.accumulate(sums[:-LEAST_WORDS])).any())
-
-
-def shared_runs(ha: np.ndarray, other: Side) -> tuple[np.ndarray, np.ndarray]:
-    """Places (of the runs ha, of those of the other text) where the same run begins."""
-    hb, order = other.runs, other.order
-    lo = np.searchsorted(other.sorted, ha, "left")
-    at = np.flatnonzero(other.sorted[np.minimum(lo, len(hb) - 1)] == ha) if len(hb) else lo[:0]
-    if not len(at):
-        return at, at
-    times_b = np.searchsorted(other.sorted, ha[at], "right") - lo[at]
-    again = np.sort(ha[at])
-    times_a = np.searchsorted(again, ha[at], "right") - np.searchsorted(again, ha[at], "left") if (again[1:] == again[:-1]).any() else 1
-    rare = times_b * times_a <= REPEATS
-    some, n = at[rare], times_b[rare]
+def may_share(words: np.ndarray, begin: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which texts have LEAST_WORDS words or more in a row of which SIMILARITY are known. Others have no passage with a text of the known words.
+
+    The texts begin at `begin` in words, each after one place that is no word of it.
+    """
+    if not len(known):
+        return np.zeros(len(begin), dtype=bool)
+    sums = np.where(known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words, 1, -4)
+    # Between texts the sum falls so low that no row of words goes over it.
+    sums[begin - 1] = -8 * len(words)
+    sums = np.cumsum(sums)
+    found = np.zeros(len(words), dtype=bool)
+    found[LEAST_WORDS:] = sums[LEAST_WORDS:] >= np.minimum.accumulate(sums[:-LEAST_WORDS]) if len(words) > LEAST_WORDS else False
+    return np.logical_or.reduceat(found, begin - 1)
+
+
+def shared_runs(ha: np.ndarray, lo: np.ndarray, at: np.ndarray, rare: np.ndarray, other: Side) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of the runs ha, of those of the other text) where the same run begins; of ha those `at` are in the other text, from `lo` on in its order."""
+    some, often = at[rare], at[~rare]
+    n = other.times[lo[some]]
     i = np.repeat(some, n)
-    j = order[np.arange(n.sum()) + np.repeat(lo[some] - np.cumsum(n) + n, n)]
-    if rare.all():
-        return i, j
+    j = other.order[np.arange(len(i)) + np.repeat(lo[some] - np.cumsum(n) + n, n)]
     # Frequent runs: all places on the diagonals that are known; without any, first with first and so on.
-    known = np.unique(i - j)
-    if not len(known):
-        known = np.unique(at[~rare] - order[lo[at[~rare]]])[:1]
-    often = at[~rare]
-    for d in known.tolist():
-        p = often[(often - d >= 0) & (often - d < len(hb))]
-        p = p[hb[p - d] == ha[p]]
-        i, j = np.concatenate((i, p)), np.concatenate((j, p - d))
-    return i, j
-
-
-def diagonals(ha: np.ndarray, other: Side) -> list[tuple[int, int, int]]:
-    """(place in a, place in b, words) of the maximal rows of shared runs along diagonals."""
-    i, j = shared_runs(ha, other)
-    if not len(i):
-        return []
-    # By diagonal and place: the next place of a diagonal is the next number.
-    place = ((i - j) << 32) + i
-    order = np.argsort(place)
-    i, j, place = i[order], j[order], place[order]
-    new = np.concatenate(([0], np.flatnonzero(place[1:] - place[:-1] != 1) + 1))
-    last = np.append(new[1:], len(i)) - 1
-    return sorted(zip(i[new].tolist(), j[new].tolist(), (i[last] - i[new] + RUN).tolist(), strict=True))
+    known = np.unique(i - j).tolist() if len(i) else [(often - other.order[lo[often]]).min()]
+    found_i, found_j = [i], [j]
+    for d in known:
+        p = often[(often >= d) & (often < d + len(other.runs))]
+        p = p[other.runs[p - d] == ha[p]]
+        found_i.append(p)
+        found_j.append(p - d)
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def diagonals(words: np.ndarray, begin: np.ndarray, end: np.ndarray, other: Side) -> Iterator[list[tuple[int, int, int]]]:
+    """For each text (from begin to end in words) the (place in it, place in the other, words) of the maximal rows of shared runs along diagonals."""
+    h = runs(words)
+    lo = np.searchsorted(other.sorted, h, "left")
+    at = np.flatnonzero(other.sorted[np.minimum(lo, len(other.sorted) - 1)] == h) if len(other.sorted) else lo[:0]
+    text = np.searchsorted(begin, at, "right") - 1
+    inside = (text >= 0) & (at + RUN <= end[text])
+    at, text = at[inside], text[inside]
+    times_b = other.times[lo[at]]
+    _, which, times_a = np.unique(text * (len(other.sorted) + 1) + lo[at], return_inverse=True, return_counts=True)
+    rare = times_b * times_a[which] <= REPEATS
+    bounds = np.searchsorted(text, np.arange(len(begin) + 1)).tolist()
+    # Texts with a frequent run go one by one.
+    often = np.zeros(len(begin), dtype=bool)
+    often[text[~rare]] = True
+    every = ~often[text]
+    some, n = at[every], times_b[every]
+    i = np.repeat(some - begin[text[every]], n)
+    j = other.order[np.arange(len(i)) + np.repeat(lo[some] - np.cumsum(n) + n, n)]
+    found = [(i, j, np.repeat(text[every], n))]
+    for x in np.flatnonzero(often).tolist():
+        own = slice(bounds[x], bounds[x + 1])
+        i, j = shared_runs(h[begin[x] :], lo[begin[x] :], at[own] - begin[x], rare[own], other)
+        found.append((i, j, np.full(len(i), x)))
+    i, j, t = map(np.concatenate, zip(*found, strict=True))
+    # By text, diagonal and place.
+    order = np.lexsort((i, i - j, t))
+    i, j, t = i[order], j[order], t[order]
+    new = np.flatnonzero(np.concatenate(([True], (i[1:] - i[:-1] != 1) | (j[1:] - j[:-1] != 1) | (t[1:] != t[:-1])))) if len(i) else i
+    last = np.append(new[1:], len(i))[: len(new)] - 1
+    rows = list(zip(i[new].tolist(), j[new].tolist(), (i[last] - i[new] + RUN).tolist(), strict=True))
+    bounds = np.searchsorted(t[new], np.arange(len(begin) + 1)).tolist()
+    for x, y in zip(bounds, bounds[1:], strict=False):
+        yield sorted(rows[x:y])
 
 
 def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -332,17 +353,34 @@ def longest_alike(parts: list[tuple]) -> Iterator[tuple[int, int]]:
             todo += [(lo, lo + first), (lo + end, hi)]
 
 
-def passages(a: np.ndarray, b: np.ndarray | Side) -> list[tuple[int, int, int, int, float]]:
+def passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(start in a, end, start in b, end, similarity) of the passages of the best chains; a chain's matches are left out and the rest is chained again.
 
     Similarity is the share of matched words in the aligned ones, of the longer side where two gaps differ.
     """
-    out: list[tuple[int, int, int, int, float]] = []
-    other = b if isinstance(b, Side) else Side(b)
-    if not may_share(a, other.known):
-        return out
-    left = diagonals(runs(a), other)
-    a, b = a.tolist(), other.words.tolist()
+    return passages_with([a], Side(b))[0]
+
+
+def passages_with(texts: list[np.ndarray], other: Side) -> list[list[tuple[int, int, int, int, float]]]:
+    """The passages of each text with the other one."""
+    out: list[list[tuple[int, int, int, int, float]]] = [[] for _ in texts]
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    end = np.cumsum(lengths + 1)
+    begin = end - lengths
+    gap = np.zeros(1, dtype=np.uint32)
+    words = np.concatenate([x for t in texts for x in (gap, t)])
+    some = np.flatnonzero(may_share(words, begin, other.known))
+    if len(some):
+        b = other.words.tolist()
+        for t, left in zip(some.tolist(), diagonals(words, begin[some], end[some], other), strict=True):
+            if left:
+                out[t] = passages_of(left, texts[t].tolist(), b)
+    return out
+
+
+def passages_of(left: list[tuple[int, int, int]], a: list[int], b: list[int]) -> list[tuple[int, int, int, int, float]]:
+    """The passages of a and b, of which the shared runs are given along diagonals."""
+    out = []
     while left:
         links = chain(left)
         if sum(n for _, _, n in links) < LEAST_CHAIN:
@@ -375,8 +413,8 @@ def batched(rows: Iterator[tuple], names: list[str], most: int = 100_000) -> Ite
 
 
 def shared(rows: DataFrame, key: str, of: str) -> DataFrame:
-    """The keys that two values of `of` have."""
-    return rows.groupBy(key).agg(F.min(of).alias("least"), F.max(of).alias("most")).where("least < most").select(key)
+    """The keys that two values of `of` have: few of all, so a join with them holds them in a table by hash and need not sort the rest."""
+    return rows.groupBy(key).agg(F.min(of).alias("least"), F.max(of).alias("most")).where("least < most").select(key).hint("shuffle_hash")
 
 
 def stretches(contents: DataFrame) -> DataFrame:
@@ -496,13 +534,17 @@ def compared(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["s", "rep", "a", "b", "start_a", "end_a", "start_b", "end_b", "similarity"]
         for t in batches:
-            rows, of = [], None
-            for s, rep, a, b, fa, fb, wa, wb in zip(*(t[c] for c in ("s", "rep", "content_a", "content_b", "first_a", "first_b", "words_a", "words_b")), strict=True):
-                if a != b:
-                    # The pairs of a stretch follow each other.
-                    if of != rep:
-                        of, other = rep, Side(np.frombuffer(wb, dtype=np.uint32))
-                    rows += [(s, rep, a, b, i + fa, k + fa, j + fb, m + fb, alike) for i, k, j, m, alike in passages(np.frombuffer(wa, dtype=np.uint32), other)]
+            rows = []
+            t = t[t["content_a"] != t["content_b"]]
+            s, rep, a, b, fa, fb = (t[c].to_numpy() for c in ("s", "rep", "content_a", "content_b", "first_a", "first_b"))
+            words_a, words_b = t["words_a"].tolist(), t["words_b"].tolist()
+            # The pairs of a stretch follow each other; some at a time, so that what is held stays small.
+            bounds = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1], [True]))).tolist() if len(t) else []
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                other = Side(np.frombuffer(words_b[x], dtype=np.uint32))
+                for at in range(x, y, AT_ONCE):
+                    found = passages_with([np.frombuffer(w, dtype=np.uint32) for w in words_a[at : min(y, at + AT_ONCE)]], other)
+                    rows += [(s[p], rep[p], a[p], b[p], i + fa[p], k + fa[p], j + fb[p], m + fb[p], alike) for p, some in enumerate(found, at) for i, k, j, m, alike in some]
             yield pd.DataFrame(rows, columns=names)
 
     busy = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))

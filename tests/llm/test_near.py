@@ -275,8 +275,22 @@ def test_words_in_common_and_what_may_share():
         at = np.sort(rng.permutation(n)[:same])
         known = np.unique(np.concatenate((a[at], np.arange(5, dtype=np.uint32))))
         dense = any(np.isin(a[i:k], known).sum() >= 0.8 * (k - i) for i in range(n) for k in range(i + 50, n + 1))
-        assert chaining.may_share(a, known) == dense and (same < 0.8 * n or n < 50 or dense)
-    assert not chaining.may_share(a, known[:0]) and chaining.passages(a[:0], a) == []
+        words, begin = np.concatenate(([0], a[:30], [0], a, [0], a[:49])).astype(np.uint32), np.array([1, 32, 33 + n])
+        assert chaining.may_share(words, begin, known).tolist() == [False, dense, False] and (same < 0.8 * n or n < 50 or dense)
+    assert not chaining.may_share(words, begin, known[:0]).any() and chaining.passages(a[:0], a) == chaining.passages(a, a[:0]) == []
+
+
+def test_many_texts_against_one():
+    """Texts compared at once give what they give one by one, runs that either side repeats included."""
+    rng = np.random.default_rng(17)
+    new = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    p, line = new(90), new(6)
+    edited = p.copy()
+    edited[::9] = new(10)
+    texts = [np.concatenate((new(20), p)), p[:3], np.concatenate((edited, new(30), np.tile(line, 20))), new(70), np.tile(line, 15), np.concatenate((p, p)), p[40:], p[:0], np.concatenate((p[45:], p[:45]))]
+    for b in (np.concatenate((new(7), p, np.tile(line, 12))), p, np.concatenate((edited, p)), np.tile(line, 30)):
+        together = chaining.passages_with(texts, chaining.Side(b))
+        assert together == [chaining.passages(a, b) for a in texts] and any(together) and not all(together)
 
 
 def test_two_passages_of_a_pair_and_repeats():
