@@ -21,16 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/loomtrace-shared"
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage is cut and any executor can read it again."""
+def saved(df: DataFrame, tag: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage is cut and any executor can read it again.
+
+    `conf` holds for the writing only.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    conf = {CLEAN_UP: "true"} | (conf or {})
+    before = {k: spark.conf.get(k, None) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
