@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,13 @@ HASHED = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
 
 def kind_of(ref: Column) -> Column:
     """The kind of document that a reference names, null if it is none of the eight."""
-    prefix = F.substring_index(ref, "_", 1)
-    return F.when(ref.contains("_") & prefix.isin(*KINDS), prefix)
+    return F.coalesce(*(F.when(ref.startswith(f"{k}_"), k) for k in KINDS))
+
+
+def is_kind(ref: Column, kinds: Iterable[str]) -> Column:
+    """Whether a reference is of one of these kinds, "" for none of the eight; Parquet skips blocks by it."""
+    one_of = lambda some: reduce(or_, (ref.startswith(f"{k}_") for k in some))
+    return reduce(or_, (one_of([k]) if k else ~one_of(KINDS) for k in kinds))
 
 
 def reference_edges(*tables: DataFrame, repeats: bool = False) -> DataFrame:
@@ -59,16 +66,15 @@ def reachable(edges: DataFrame, starts: DataFrame, by: tuple[str, ...] = (), for
     part of one; a level has as many rounds as the longest of its shortest paths has steps.
     """
     src, dst = ("dst", "src") if forward else ("src", "dst")
-    kind = lambda c: F.coalesce(kind_of(F.col(c)), F.lit(""))
+    kind = lambda c: F.coalesce(kind_of(F.col(c)), F.lit("")).alias(c)
     key = [*by, "id"]
-    steps = edges.select(F.col(src).alias("__from"), F.col(dst).alias("__to")).where("__from IS NOT NULL AND __to IS NOT NULL")
-    steps = saved(steps.withColumns({"__of": kind("__from"), "__at": kind("__to")}), "edges")
-    begin = saved(starts.where("id IS NOT NULL").select(*key).distinct().withColumns({"depth": F.lit(0), "__at": kind("id")}), "starts")
-    pairs = {(r["__of"], r["__at"]) for r in steps.select("__of", "__at").distinct().collect()}
-    begun = {r["__at"] for r in begin.select("__at").distinct().collect()}
+    steps = saved(edges.select(F.col(src).alias("__from"), F.col(dst).alias("__to")).where("__from IS NOT NULL AND __to IS NOT NULL"), "edges")
+    begin = saved(starts.where("id IS NOT NULL").select(*key).distinct().withColumn("depth", F.lit(0)), "starts")
+    pairs = {tuple(r) for r in steps.select(kind("__from"), kind("__to")).distinct().collect()}
+    begun = {r["id"] for r in begin.select(kind("id")).distinct().collect()}
 
     def between(some: list[str], others: list[str]) -> DataFrame:
-        return steps.where(F.col("__of").isin(some) & F.col("__at").isin(others)).select("__from", "__to")
+        return steps.where(is_kind(F.col("__from"), some) & is_kind(F.col("__to"), others))
 
     def followed(rows: DataFrame, along: DataFrame) -> DataFrame:
         rows = rows if most is None else rows.where(F.col("depth") < most)
@@ -80,13 +86,13 @@ def reachable(edges: DataFrame, starts: DataFrame, by: tuple[str, ...] = (), for
     done: list[tuple[list[str], DataFrame]] = []
     for level in levels({k for p in pairs for k in p} | begun, pairs):
         leads = lambda some, level=level: any(a in some and b in level for a, b in pairs)
-        came = [begin.where(F.col("__at").isin(level)).drop("__at")] if begun & set(level) else []
+        came = [begin.where(is_kind(F.col("id"), level))] if begun & set(level) else []
         ahead = [followed(rows, between(some, level)) for some, rows in done if leads(some)]
         if not came and not ahead:
             continue
         reached = saved(least(*came, *ahead), "reached", HASHED) if ahead else came[0]
         if leads(level):
-            inner = saved(between(level, level).distinct(), "edges")
+            inner = saved(between(level, level), "edges")
             found = [reached]
             while True:
                 a = least(followed(found[-1], inner)).alias("a")
@@ -99,7 +105,7 @@ def reachable(edges: DataFrame, starts: DataFrame, by: tuple[str, ...] = (), for
             dropped(inner, *(found if ahead else found[1:]))
         done.append((level, reached))
     dropped(steps)
-    return reduce(DataFrame.unionByName, (rows for _, rows in done)) if done else begin.drop("__at")
+    return reduce(DataFrame.unionByName, (rows for _, rows in done)) if done else begin
 
 
 def with_observations(samples: DataFrame, observations: DataFrame, key: str, *columns: str) -> DataFrame:
